@@ -89,3 +89,63 @@ def ragged_arange(counts: np.ndarray) -> np.ndarray:
 
 def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+_FOLD: np.ndarray | None = None
+
+
+def folded() -> np.ndarray:
+    """By code point: its lower-case form where it belongs to a word (letter, digit, mark or underscore), else 0."""
+    global _FOLD
+    if _FOLD is None:
+        import re
+
+        table = np.zeros(0x110000, dtype=np.uint32)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for m in re.finditer(r"\w", every):
+            table[ord(m[0])] = ord(m[0].lower()[0])
+        _FOLD = table
+    return _FOLD
+
+
+_POWERS = np.ones(1, dtype=np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers of an odd constant, n at least."""
+    global _POWERS
+    if len(_POWERS) < n:
+        full = np.full(max(n, 4096), 0x9E3779B97F4A7C15, dtype=np.uint64)
+        full[0] = 1
+        _POWERS = np.cumprod(full)
+    return _POWERS
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit hash) of each word of each text in order, without regard to case."""
+    points, lengths = code_points(texts)
+    points = folded()[points]
+    ends = np.cumsum(lengths)
+    inside = points != 0
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    first = ends[:-1][lengths[1:] > 0]  # a text's first character starts a word of its own
+    first = first[first < len(points)]
+    begin[first] = inside[first]
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    chars = points[inside].astype(np.uint64)
+    number = np.cumsum(begin[inside]) - 1
+    size = np.bincount(number)
+    at = ragged_arange(size)
+    heads = np.cumsum(size) - size
+    hashed = mix64(np.add.reduceat((chars + np.uint64(1)) * powers(int(size.max()))[at], heads))
+    return np.searchsorted(ends, starts, side="right"), hashed
+
+
+def digest(text: str) -> "Column":  # noqa: F821
+    """A text's 128-bit digest as a column expression; equal texts have equal ones."""
+    from pyspark.sql import functions as F
+
+    return F.unhex(F.md5(F.col(text)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, media, secrets, sharding, sql
+from . import html_text, language_id, media, minhash, packing, secrets, sharding, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -32,12 +36,16 @@ def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.interleave(_table(spark, sf_dir, "pages"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language_id, op3_html_extraction, op4_secret_scan, op5_media_sequences, op9_rendezvous_sharding)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_secret_scan, op5_media_sequences, op8_packing, op9_rendezvous_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
