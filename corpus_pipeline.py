@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diskloom.llm import language_id, secrets
+from diskloom.llm import language_id, minhash, packing, secrets
+from diskloom.llm.common import written
 
 ORACLE_SQL = None
 
@@ -14,16 +15,27 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_accepted(docs, language_id.fit(docs))
 
 
+def remove_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return minhash.deduplicated(docs)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; reported secrets are masked in its text."""
     return secrets.redacted(docs)
 
 
-STAGES = [("language_id", identify), ("secret_scan", mask_secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document has a place in a pack."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language_id", identify), ("near_dedup", remove_duplicates), ("secret_scan", mask_secrets), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
