@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, media, minhash, packing, secrets, sharding, sql
+from . import brown, fingerprints, html_text, language_id, media, minhash, packing, pieces, secrets, sharding, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,14 @@ def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.interleave(_table(spark, sf_dir, "pages"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.perplexities(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -44,8 +52,12 @@ def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenize(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_secret_scan, op5_media_sequences, op8_packing, op9_rendezvous_sharding)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_secret_scan, op5_media_sequences, op6_fingerprints, op7_lm_scoring, op8_packing, op9_rendezvous_sharding, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
