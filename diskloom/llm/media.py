@@ -11,7 +11,7 @@ Defined results: null html has a null sequence, html without text or media an em
 reference without an address is left out; a digest without payload keeps its item with a null
 payload; several payloads of one digest give the one with the smallest media type, then bytes;
 the same reference twice gives two items; a caption goes with every media item of its figure.
-Pages with a null or repeated page_id are kept apart while they are resolved.
+Pages are resolved by content, so a null or repeated page_id is no matter.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks
 from .html_text import _DROP, _SPACE, BLOCKS
 
 MEDIA = {"img": ("image", "src"), "video": ("video", "src"), "audio": ("audio", "src"), "source": ("", "src"), "embed": ("embed", "src"), "object": ("embed", "data"), "input": ("image", "src"), "image": ("image", "href")}
@@ -130,15 +130,16 @@ def sequence(source: str | None, base: str | None) -> list[dict] | None:
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, items), one row for each page, in a narrow stage."""
+    """(page_id, page, items), one row for each page, in a narrow stage; page is a digest of address and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "html"):
             found = [sequence(h, u) for h, u in zip(part.column("html").to_pylist(), part.column("url").to_pylist())]
-            yield pa.record_batch({"page_id": part.column("page_id"), "items": pa.array(found, pa.list_(ITEM))})
+            yield pa.record_batch({"page_id": part.column("page_id"), "page": part.column("page"), "items": pa.array(found, pa.list_(ITEM))})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {kind}, items array<{ITEM_DDL}>")
+    page = F.unhex(F.md5(F.concat(F.coalesce(F.col(url_col), F.lit("")), F.lit("\u0000"), F.col(html_col))))
+    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), page.alias("page")).mapInArrow(run, f"page_id {kind}, page binary, items array<{ITEM_DDL}>")
 
 
 def inline_payloads(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -160,17 +161,17 @@ def inline_payloads(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def resolve(found: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(page_id, items) with each media item's payload size and type from the payload table.
+    """(page_id, items) with each media item's payload and its size and type from the payload table.
 
-    Only references are shuffled, never texts: items without media skip the join, and the found
-    sizes come back as one map a page, applied in place by position.
+    References alone meet the payloads; what is found comes back as one map for each distinct
+    page and is applied in place by position. Pages are named by their content, so the parse is
+    made again instead of being kept, and a lost executor changes nothing.
     """
-    kept = written(found.withColumn("row", F.monotonically_increasing_id()))
-    refs = kept.select("row", F.explode(F.filter("items", lambda x: x["digest"].isNotNull())).alias("x")).select("row", F.col("x.pos").alias("pos"), F.col("x.digest").alias("digest"))
+    refs = found.select("page", F.explode(F.filter("items", lambda x: x["digest"].isNotNull())).alias("x")).select("page", F.col("x.pos").alias("pos"), F.col("x.digest").alias("digest")).distinct()
     one = payloads.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("media_type", "payload")).alias("p"))
     one = one.select("digest", F.col("p.media_type").alias("media_type"), F.length("p.payload").cast("long").alias("size"), F.col("p.payload").alias("payload"))
-    hits = refs.join(one, "digest").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("media_type", "size", "payload")))).alias("hits"))
-    joined = kept.join(hits, "row", "left")
+    hits = refs.join(one, "digest").groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("media_type", "size", "payload")))).alias("hits"))
+    joined = found.join(hits, "page", "left")
     return joined.select(
         "page_id",
         F.transform(
