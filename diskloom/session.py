@@ -26,3 +26,64 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(spark: SparkSession) -> None:
+    """SQL functions: character sets, obfuscation, pictures, and the d88_sectors table function."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from .functions import charset, obfuscation, pictures
+    from .sources import d88
+
+    def binary(change):
+        return F.pandas_udf(lambda column: pd.Series([None if x is None else change(bytes(x)) for x in column], dtype=object), "binary")
+
+    def text(charset_name: str):
+        def change(data: bytes) -> str:
+            return charset.decode_bytes(data, charset_name)
+
+        return F.pandas_udf(lambda column: pd.Series([None if x is None else change(bytes(x)) for x in column], dtype=object), "string")
+
+    def keyed(method: str, forward: bool):
+        take, give = (13, 11) if forward else (11, 13)
+        if method == obfuscation.PC98:
+            turn = bytes((b << 7 & 255 | b >> 1) if forward else (b << 1 & 255 | b >> 7) for b in range(256))
+            return lambda data: data.translate(turn)
+        key = obfuscation.KEYS[method]
+        return lambda data: bytes((give - i % give + ((b - take + i % take & 255) ^ key[i % 143])) & 255 for i, b in enumerate(data))
+
+    for name, kind in (("pc98", charset.PC98), ("pc6001", charset.PC6001)):
+        spark.udf.register(f"decode_{name}", text(kind))
+        spark.udf.register(f"encode_{name}", F.pandas_udf(lambda column, k=kind: pd.Series([None if x is None else charset.encode_text(x, k) for x in column], dtype=object), "binary"))
+    for method in (obfuscation.PC98, *obfuscation.KEYS):
+        spark.udf.register(f"obfuscate_{method}", binary(keyed(method, True)))
+        spark.udf.register(f"deobfuscate_{method}", binary(keyed(method, False)))
+    spark.udf.register("rbyte_decode", pictures._decoder(pictures.decode_rbyte))
+    spark.udf.register("rbyte88_decode", pictures._decoder(pictures.decode_rbyte88))
+
+    class Sectors:
+        def eval(self, path: str, content: bytes):
+            for disk in d88.disks_of(path, content):
+                for s in disk["sectors"]:
+                    yield disk["disk_idx"], s["table_pos"], s["track"], s["side"], s["slice_idx"], s["sec_num"], s["sectors_in_track"], s["data_offset"], s["header"], s["data"], disk.get("fatal")
+                if not disk["sectors"]:
+                    yield (disk["disk_idx"], *[None] * 9, disk.get("fatal"))
+
+    schema = "disk_idx int, table_pos int, track int, side int, slice_idx int, sec_num int, sectors_in_track int, data_offset bigint, header binary, data binary, fatal string"
+    spark.udtf.register("d88_sectors", F.udtf(Sectors, returnType=schema))
+
+
+def views(disks: DataFrame) -> None:
+    """Temporary views over analysed disks: disks, sectors, formats, directory, fat, files, errors."""
+    from pyspark.sql import functions as F
+
+    from .operators import outputs
+
+    disks.drop("entries", "metadata", "fats", "layout").createOrReplaceTempView("disks")
+    disks.select("path", "disk_idx", F.explode("layout").alias("s")).select("path", "disk_idx", "s.*").createOrReplaceTempView("sectors")
+    disks.where("fatal IS NULL").select("path", "disk_idx", "format.*").createOrReplaceTempView("formats")
+    outputs.entries(disks).createOrReplaceTempView("directory")
+    outputs.fat(disks).createOrReplaceTempView("fat")
+    outputs.files(disks).createOrReplaceTempView("files")
+    outputs.errors(disks).createOrReplaceTempView("errors")
