@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, code_points, ragged_arange
+from .common import chunks, code_points, ragged_arange, rewritten
 
 #: N-grams in a language's profile, and of a document that are compared with it.
 PROFILE = 300
@@ -177,4 +177,4 @@ def keep_accepted(docs: DataFrame, profiles: Profiles, text_col: str = "text") -
         for part in chunks(batches, text_col):
             yield part.filter(pa.array(profiles.decide(part.column(text_col))[3]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rewritten(docs, keep)

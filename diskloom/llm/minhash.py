@@ -155,10 +155,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, whole and with all their columns, but for those that a kept one stands for."""
+    """The rows of docs, whole and with all their columns, whatever these are called, but for those that a kept one stands for."""
     number = "row"
-    while number in docs.columns:
+    while number in {c.lower() for c in docs.columns}:
         number += "_"
     held = written(docs.withColumn(number, F.monotonically_increasing_id()))  # row numbers must outlive a lost executor
     gone = duplicates(held.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), threshold)
-    return held.join(gone.select(F.col("row").alias(number)), number, "left_anti").select(*docs.columns)
+    return held.join(gone.select(F.col("row").alias(number)), number, "left_anti").drop(number)

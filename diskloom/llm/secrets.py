@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, rewritten
 
 WINDOW = 160
 #: Bytes of compressed output that a byte of the candidate must add.
@@ -151,4 +151,4 @@ def redacted(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_
                 part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
             yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return rewritten(docs, run)

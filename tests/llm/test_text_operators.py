@@ -1,0 +1,116 @@
+"""Language ID, HTML extraction, secret scans and media sequences."""
+
+import base64
+import hashlib
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from diskloom.llm import html_text, language_id, media, secrets
+
+SF = "/root/testdata/sf0.01"
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, `row` int, `ROOT` string, `a.b` int"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1, "r", 2) for i, t, lang in rows], WIDE)
+
+
+EN = "the cat and the dog went to the house of the king with all the men and that was that " * 3
+DE = "der hund und die katze gingen zu dem haus des mannes und das war nicht gut für die kinder " * 3
+
+
+def test_language_id_edges(spark):
+    rows = [(1, EN, "en"), (2, DE, "de"), (3, None, "en"), (4, "", None), (5, "1234 !!", "de"), (None, EN, None), (1, EN, "en"), (6, "x" * 30000, None), (7, EN.upper(), None)]
+    docs = table(spark, rows)
+    p = language_id.fit(docs)
+    got = [(r.doc_id, r.language, r.accepted) for r in language_id.identify(docs, p).collect()]
+    assert len(got) == len(rows)
+    by = {}
+    for d, lang, ok in got:
+        by.setdefault(d, []).append((lang, ok))
+    assert by[1] == [("en", True)] * 2 and by[2] == [("de", True)] and by[None] == [("en", True)] and by[7] == [("en", True)]
+    assert by[3] == by[4] == by[5] == [(None, False)]
+    kept = language_id.keep_accepted(docs, p)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 7, None}
+    none = docs.limit(0)
+    assert language_id.identify(none, language_id.fit(none)).count() == 0
+    assert language_id.keep_accepted(none, p).count() == 0
+
+
+def test_language_id_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    p = language_id.fit(docs.where("doc_id % 2 = 0"))
+    rows = language_id.identify(docs.where("doc_id % 2 = 1"), p).join(docs.select("doc_id", "lang"), "doc_id").where("language IS NOT NULL").collect()
+    assert sum(r.language == r.lang for r in rows) / len(rows) > 0.95
+
+
+def test_language_id_distance_by_hand():
+    p = language_id.Profiles([("x", "a", 1), ("x", " a", 2), ("y", "b", 1)])
+    lang, distance, worst, ok = p.decide(pa.array(["aa", None]))
+    # grams of " aa ": a 2, then " a", "aa", "a ", " aa", "aa " once each in code-point order
+    assert lang.tolist() == [0, -1] and worst.tolist() == [6 * 300, 0] and ok.tolist() == [True, False] and distance[0] < worst[0]
+
+
+PAGE = "<html><head><title>T</title></head><body><nav><a href=/a>Home</a> <a href=/b>More links here</a></nav><h1>A heading</h1><p>" + EN + "</p><p>Short.</p><p>" + EN + "</p><footer>© 2020</footer><script>bad()</script></body>"
+
+
+def test_html_extraction(spark):
+    assert html_text.extract(None) == (None, 0, 0) and html_text.extract("")[0] == ""
+    text, n, kept = html_text.extract(PAGE)
+    assert "Short." in text and "cat and the dog" in text and "Home" not in text and "bad()" not in text and kept < n
+    for odd in ("<p", "<<<>>>", "<a><a><b>", "<p>" * 5000, "<!-- " + "x" * 100000, "&#xZZ; &amp;", "<script>" * 200):
+        assert html_text.extract(odd)[0] is not None
+    pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "u", "")], "page_id long, url string, html string")
+    got = html_text.extract_pages(pages).collect()
+    assert len(got) == 4 and sorted(str(r.content is None) for r in got) == ["False"] * 3 + ["True"]
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("labels, want", [(["good", "short", "good"], [1, 1, 1]), (["bad", "short", "bad"], [0, 0, 0]), (["good", "short", "bad"], [1, 0, 0]), (["near"], [0]), (["good", "near", "bad"], [1, 1, 0]), ([], []), (["bad", "near", "short", "good"], [0, 1, 1, 1])])
+def test_second_pass(labels, want):
+    assert html_text.second_pass(labels) == [bool(x) for x in want]
+
+
+KEY = "q9Xv7LmZ2pRt5KsW8bNc4HdY"
+
+
+def test_secret_scan(spark):
+    texts = [f'api_key = "{KEY}" and so on', "token: your_token_here_please", None, "", f"password={KEY}\npassword={KEY}", "the key is interesting", f"{'x' * 200000} secret: {KEY}", "Authorization: Bearer " + KEY + "Jf3Gh6Dq0Z", "AKIA" + "ABCDEFGH12345678"]
+    docs = table(spark, [(k, t, "en") for k, t in enumerate(texts)])
+    found = {}
+    for r in secrets.scan(docs).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.length, r.value_md5))
+    assert set(found) >= {0, 4, 6, 7} and not set(found) & {1, 2, 3, 5}
+    assert found[0] == [(11, len(KEY), hashlib.md5(KEY.encode()).hexdigest())] and len(found[4]) == 2 and found[6][0][0] == 200009
+    clean = secrets.redacted(docs)
+    assert clean.columns == docs.columns
+    rows = {r.doc_id: r for r in clean.collect()}
+    assert rows[0].text == 'api_key = "[secret]" and so on' and rows[0].n_chars == len(rows[0].text) and rows[2].text is None and rows[5].text == texts[5]
+    assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redacted(docs.limit(0)).count() == 0
+    assert all(KEY not in (r.text or "") for r in rows.values())
+
+
+def test_novelty_of_words_and_noise():
+    assert secrets.novelty(f'token = "{KEY}"', 9, 9 + len(KEY)) > secrets.NOVELTY > secrets.novelty('token = "replace_with_your_token_here"', 9, 37)
+    twice = f'a = "{KEY}" token = "{KEY}"'
+    assert secrets.novelty(twice, 38, 38 + len(KEY)) > secrets.NOVELTY  # a copy nearby hides nothing
+
+
+def test_media_sequences(spark):
+    raw = b"\x89PNG data"
+    inline = "data:image/png;base64," + base64.b64encode(raw).decode()
+    html = f'<p>Before <img src="/a.png" alt="An a"> after</p><figure><img src="{inline}"><figcaption>Cap &amp; tion</figcaption></figure><video><source src="v.mp4" type="video/mp4"></video><img><img src="/a.png">'
+    pages = spark.createDataFrame([(1, "http://h/x/", html, 5), (1, "http://h/x/", html, 5), (None, None, None, 1), (2, None, "", 1), (3, "::bad", "<img src=x.png>" + "<p>t</p>" * 3000, 1)], "page_id long, url string, html string, digest int")
+    extra = spark.createDataFrame([(hashlib.sha256(b"http://h/a.png").hexdigest(), "image/png", bytearray(b"AB")), (hashlib.sha256(b"http://h/a.png").hexdigest(), "image/png", bytearray(b"AA")), (None, "x", bytearray(b"y"))], "digest string, media_type string, payload binary")
+    got = media.interleave(pages, extra).collect()
+    assert len(got) == 5
+    one = [r.items for r in got if r.page_id == 1]
+    assert one[0] == one[1]
+    kinds = [(x.pos, x.kind, x.text, x.caption) for x in one[0]]
+    assert kinds == [(0, "text", "Before", None), (1, "image", None, "An a"), (2, "text", "after", None), (3, "image", None, "Cap & tion"), (4, "video", None, None), (5, "image", None, None)]
+    assert bytes(one[0][1].payload) == b"AA" and bytes(one[0][5].payload) == b"AA" and bytes(one[0][3].payload) == raw and one[0][3].size == len(raw) and one[0][4].payload is None
+    assert one[0][1].url == "http://h/a.png" and one[0][4].url == "http://h/x/v.mp4"
+    assert [r.items for r in got if r.page_id is None] == [None] and [r.items for r in got if r.page_id == 2] == [[]]
+    assert media.interleave(pages.limit(0)).count() == 0
