@@ -30,7 +30,7 @@ PROFILE = 300
 #: Labelled documents of each language that the profiles are made from: those first by md5 of the id.
 SAMPLE = 500
 #: Accepted up to this many hundredths of the largest distance that the document could have.
-ACCEPT = 95
+ACCEPT = 85
 
 
 class Grams:
