@@ -120,12 +120,16 @@ def encode_text(text: str, charset: str, try_harder: bool = True) -> bytes | Non
     return None if None in found else b"".join(found)
 
 
+def unmapped(text: Column, charset: str) -> Column:
+    """How many characters of a text are neither in the table nor in ASCII; one hash lookup for each."""
+    known = TABLES[charset] + "".join(chr(b) for b in range(128) if chr(b) not in TABLES[charset])
+    return F.length(F.translate(text, known, ""))
+
+
 def encode_fast(text: Column, charset: str) -> Column:
     """JVM encoding of text whose characters all are in the table or in ASCII; null for other text."""
     table = TABLES[charset]
-    plain = "".join(chr(b) for b in range(128) if chr(b) not in table)
-    allowed = "".join(f"\\x{{{ord(c):X}}}" for c in table + plain)
-    return F.when(F.regexp_like(text, F.lit(f"\\A[{allowed}]*\\z")), F.encode(F.translate(text, table, "".join(map(chr, range(256)))), "ISO-8859-1"))
+    return F.when(unmapped(text, charset) == 0, F.encode(F.translate(text, table, "".join(map(chr, range(256)))), "ISO-8859-1"))
 
 
 def encode(text: Column, charset: str, try_harder: bool = True, errors: str = "null") -> Column:

@@ -49,8 +49,14 @@ def geometry(disks: DataFrame) -> DataFrame:
     """Checks the walks, keeps the last walk of each track and side, and measures what is there."""
     s = F.col("sectors")
 
+    def number(x: Column, *names: str) -> Column:
+        out = F.lit(0).cast("bigint")
+        for n in names:
+            out = out * 65536 + x[n]
+        return out
+
     def distinct(*names: str) -> Column:
-        return F.size(F.array_distinct(F.transform(s, lambda x: F.struct(*[x[n] for n in names]))))
+        return F.size(F.array_distinct(F.transform(s, lambda x: number(x, *names))))  # longs are told apart by hash, structs one by one
 
     ranges = F.array_sort(F.transform(s, lambda x: F.struct(x["data_offset"].alias("a"), (x["data_offset"] + F.octet_length(x["data"])).alias("b"))))
     swept = F.aggregate(ranges, F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(False).alias("bad")), lambda t, r: F.struct(r["b"].alias("end"), (t["bad"] | (r["a"] < t["end"])).alias("bad")))
@@ -60,8 +66,9 @@ def geometry(disks: DataFrame) -> DataFrame:
         _fail(distinct("track", "side", "sectors_in_track") > distinct("track", "side"), "sectors per track varies"),
         _fail(swept["bad"], "found overlapping sector data"),
     )
-    walks = F.array_distinct(F.transform(s, lambda x: F.struct(x["table_pos"].alias("p"), x["track"].alias("c"), x["side"].alias("h"))))
-    last = let(walks, lambda w: F.transform(F.filter(w, lambda x: ~F.exists(w, lambda y: (y["c"] == x["c"]) & (y["h"] == x["h"]) & (y["p"] > x["p"]))), lambda x: x["p"]))
+    keys = F.array_distinct(F.transform(s, lambda x: number(x, "table_pos", "track", "side")))
+    walks = F.transform(keys, lambda k: F.struct(F.shiftright(k, 32).cast("int").alias("p"), (k % F.lit(1 << 32)).alias("t")))
+    last = let(walks, lambda w: F.transform(F.filter(w, lambda x: ~F.exists(w, lambda y: (y["t"] == x["t"]) & (y["p"] > x["p"]))), lambda x: x["p"]))
     kept = _with(checked, "sectors", let(last, lambda p: F.filter(s, lambda x: F.array_contains(p, x["table_pos"]))))
 
     def most(name: str) -> Column:

@@ -135,7 +135,7 @@ _ENCODABLE = "".join(dict.fromkeys(charset.TABLES[charset.PC98] + "".join(map(ch
 
 @query(f"SELECT lang, count(*) AS docs, sum((length(translate(text, {_literal(_ENCODABLE)}, '')) > 0)::BIGINT)::BIGINT AS failures FROM documents GROUP BY lang")
 def encode_failures_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = charset.encode_fast(F.col("text"), charset.PC98).isNull() & F.col("text").isNotNull()
+    failed = charset.unmapped(F.col("text"), charset.PC98) > 0
     return _table(spark, sf_dir, "documents", "lang", "text").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(failed.cast("bigint")).alias("failures"))
 
 
@@ -271,7 +271,8 @@ def built(rows: DataFrame, key: Column, form: build.Format = build.PC88_2D, disk
             out += disk.build(b"BUILT")
         return pa.table({"path": pa.array([f"{table.column('key')[0].as_py()}.d88"]), "content": pa.array([out], pa.binary())})
 
-    keyed = rows.withColumn("key", key.cast("bigint"))
+    many = rows.sparkSession.sparkContext.defaultParallelism  # rows are small but images are not: no coalescing here
+    keyed = rows.withColumn("key", key.cast("bigint")).repartition(many, "key")
     return keyed.groupBy("key").applyInArrow(make, "path string, content binary")
 
 
