@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .charset import PC98, PC6001, encode_char
 
-UNSAFE = '"*+,/:;<=>?[\\]|\x7f¥¦'
-RESERVED = ["CLOCK$", "CON", "PRN", "AUX", "NUL", *(f"{p}{n}" for p in ("COM", "LPT") for n in range(1, 10))]
+UNSAFE = "<>[]|¦\\¥/:;,+=*?\x7f" + '"'
+RESERVED = ["NUL", "AUX", "CON", "CLOCK$", "PRN", *(f"{p}{n}" for p in ("COM", "LPT") for n in range(1, 10))]
 #: Bits of an entry's attribute byte, then the two marks in its first byte.
 ATTRIBUTES = {0x01: "Binary", 0x02: "Reserved#1", 0x04: "Reserved#2", 0x08: "Reserved#3", 0x10: "Read-Only", 0x20: "Obfuscated", 0x40: "Read-after-Write", 0x80: "Non-ASCII", 0x100: "Deleted(00)", 0x200: "Unused(FF)"}
 BINARY, OBFUSCATED, NON_ASCII, DELETED, UNUSED = (ATTRIBUTES[k] for k in (0x01, 0x20, 0x80, 0x100, 0x200))
@@ -39,7 +39,7 @@ def _suffix(attrs: Column, natural: Column) -> Column:
 
     neither = ~has(NON_ASCII) & ~has(BINARY)
     rules = [("---", has(UNUSED)), ("vfy", has(ATTRIBUTES[0x40])), *((f"r-{k + 1}", has(ATTRIBUTES[2 << k])) for k in range(3)), ("r-o", has(ATTRIBUTES[0x10]))]
-    rules += [("bas", has(NON_ASCII) & ~natural.isin("bas", "n88", "nip", "hd")), ("bin", has(BINARY) & ~natural.isin("bin", "cod")), ("asc", neither & ~natural.isin("asc", "txt"))]
+    rules += [("bas", has(NON_ASCII) & ~natural.isin("hd", "nip", "n88", "bas")), ("bin", has(BINARY) & ~natural.isin("cod", "bin")), ("asc", neither & ~natural.isin("txt", "asc"))]
     rules += [("era", has(DELETED)), ("obf", has(OBFUSCATED))]
     return F.array_join(F.array_compact(F.array(*[F.when(rule, tag) for tag, rule in rules])), ".")
 

@@ -38,11 +38,11 @@ def host_name(name: str, ext: str, attrs: set[str], charset: str) -> str:
     host = "".join(parts)
     if host[:1] in ("", "."):
         host = "(empty)" + host
-    kind = "".join(host.split(".")[1:]).lower()
+    kind = host.partition(".")[2].replace(".", "").lower()
     tags = [tag for attr, tag in _TAGS if attr in attrs]
-    tags += ["bas"] if NON_ASCII in attrs and kind not in ("bas", "n88", "nip", "hd") else []
-    tags += ["bin"] if BINARY in attrs and kind not in ("bin", "cod") else []
-    tags += ["asc"] if not attrs & {NON_ASCII, BINARY} and kind not in ("asc", "txt") else []
+    tags += ["bas"] if NON_ASCII in attrs and kind not in ("hd", "nip", "n88", "bas") else []
+    tags += ["bin"] if BINARY in attrs and kind not in ("cod", "bin") else []
+    tags += ["asc"] if not attrs & {NON_ASCII, BINARY} and kind not in ("txt", "asc") else []
     tags += ["era"] * (DELETED in attrs) + ["obf"] * (OBFUSCATED in attrs)
     return host + ("." if "." in host else "..") + ".".join(tags) if tags else host
 

@@ -24,13 +24,15 @@ class Format(NamedTuple):
 
 
 _NOTE = " (wild type{})"
+#: Media by the size of the disk.
+_MICRO, _MINI, _LARGE = '3.5" ', '5.25" ', '8" 2D/'
 _ROWS = [
-    ('PC-9800 3.5" 2DD/5.25" 2DD', (80, 80, 2, 16), "", (PC98, "pc98"), (40, 0, 1), False),
-    ('PC-9800 8" 2D/3.5" 2HD/5.25" 2HD', (77, 77, 2, 26), "len=128", (PC98, "pc98"), (35, 0, 1), False),
-    ('PC-9800 8" 2D/3.5" 2HD/5.25" 2HD' + _NOTE.format(", 78 tracks"), (78, 77, 2, 26), "len=128", (PC98, "pc98"), (35, 0, 1), False),
+    ("PC-9800 " + _MICRO + "2DD/" + _MINI + "2DD", (80, 80, 2, 16), "", (PC98, "pc98"), (40, 0, 1), False),
+    ("PC-9800 " + _LARGE + _MICRO + "2HD/" + _MINI + "2HD", (77, 77, 2, 26), "len=128", (PC98, "pc98"), (35, 0, 1), False),
+    ("PC-9800 " + _LARGE + _MICRO + "2HD/" + _MINI + "2HD" + _NOTE.format(", 78 tracks"), (78, 77, 2, 26), "len=128", (PC98, "pc98"), (35, 0, 1), False),
     ('PC-8000/PC-8800 5.25" 1D', (35, 35, 1, 16), "", (PC98, "pc88"), (18, 0, 2), False),
     ('PC-8000/PC-8800 5.25" 2D', (40, 40, 2, 16), "", (PC98, "pc88"), (18, 1, 2), False),
-    ('PC-8801 mkII 8" 2D/5.25" 2HD', (77, 77, 2, 26), "len<>128", (PC98, "pc88"), (35, 0, 1), False),
+    ("PC-8801 mkII " + _LARGE + _MINI + "2HD", (77, 77, 2, 26), "len<>128", (PC98, "pc88"), (35, 0, 1), False),
     ('PC-6001 mkII 5.25" 1D', (35, 35, 1, 16), "SYS", (PC6001, None), (18, 0, 2), False),
     ('PC-6001 mkII 5.25" 1D' + _NOTE.format(", 36 tracks"), (36, 35, 1, 16), "SYS", (PC6001, None), (18, 0, 2), False),
     ('PC-6601 3.5" 1D' + _NOTE.format(""), (40, 40, 1, 16), "SYS", (PC6001, None), (18, 0, 2), False),

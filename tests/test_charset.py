@@ -19,7 +19,7 @@ def test_every_byte_and_marked_pair_goes_there_and_back(kind):
     "kind, text, raw",
     [
         (cs.PC98, "¥0=0円", "5C303D30F1"),
-        (cs.PC98, "▊▋▌▍▎▏█▇▆▅▄▃▂", "8D8C8B8A898887868584838281"),
+        (cs.PC98, "".join(map(chr, [*range(0x258A, 0x2590), *range(0x2588, 0x2581, -1)])), "8D8C8B8A898887868584838281"),
         (cs.PC98, "「！？」　･･･", "A2213FA320A5A5A5"),
         (cs.PC6001, "¥0=0円", "5C303D301439"),
         (cs.PC6001, "小", "144F"),
