@@ -257,7 +257,7 @@ def eof_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Images built from tables
 
 
-def built(rows: DataFrame, key: Column, form: build.Format = build.PC88_2D, disks_a_file: int = 1, attributes: int = 0) -> DataFrame:
+def built(rows: DataFrame, key: Column, form: build.Format = build.PC88_2D, disks_a_file: int = 1, parts: int | None = None) -> DataFrame:
     """(path, content): images of (name, ext, data) rows, one file for each key; rows in order of ``pos``."""
     def make(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
@@ -267,11 +267,11 @@ def built(rows: DataFrame, key: Column, form: build.Format = build.PC88_2D, disk
         for n in range(0, len(name), share):
             disk = build.Disk(form, boot=b"\0\0\0\0" if form.hint == "0000" else b"")
             for k in range(n, min(n + share, len(name))):
-                disk.add(name[k], ext[k], data[k], attributes)
+                disk.add(name[k], ext[k], data[k], 0)
             out += disk.build(b"BUILT")
         return pa.table({"path": pa.array([f"{table.column('key')[0].as_py()}.d88"]), "content": pa.array([out], pa.binary())})
 
-    many = rows.sparkSession.sparkContext.defaultParallelism  # rows are small but images are not: no coalescing here
+    many = parts or rows.sparkSession.sparkContext.defaultParallelism  # rows are small but images are not: no coalescing here
     keyed = rows.withColumn("key", key.cast("bigint")).repartition(many, "key")
     return keyed.groupBy("key").applyInArrow(make, "path string, content binary")
 
@@ -283,7 +283,7 @@ def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file of images built from ``nation``: name, length and first line."""
-    own = outputs.files(contents.analyzed(d88.scan(built(_nation(spark, sf_dir), F.lit(0)))))
+    own = outputs.files(contents.analyzed(d88.scan(built(_nation(spark, sf_dir), F.lit(0), parts=1))))
     return own.select("path", F.concat(F.rtrim("name"), F.lit("."), F.rtrim("ext")).alias("name"), F.octet_length("file_data").cast("bigint").alias("length"), F.substring_index(charset.decode_pc98(F.col("file_data")), "\r\n", 1).alias("first_line"))
 
 
