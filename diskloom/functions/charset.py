@@ -129,7 +129,9 @@ def unmapped(text: Column, charset: str) -> Column:
 def encode_fast(text: Column, charset: str) -> Column:
     """JVM encoding of text whose characters all are in the table or in ASCII; null for other text."""
     table = TABLES[charset]
-    return F.when(unmapped(text, charset) == 0, F.encode(F.translate(text, table, "".join(map(chr, range(256)))), "ISO-8859-1"))
+    made = F.translate(text, table[1:], "".join(map(chr, range(1, 256))))
+    made = F.replace(made, F.lit(table[0]), F.lit("\0"))  # a translation to the character 0 would delete it
+    return F.when(unmapped(text, charset) == 0, F.encode(made, "ISO-8859-1"))
 
 
 def encode(text: Column, charset: str, try_harder: bool = True, errors: str = "null") -> Column:

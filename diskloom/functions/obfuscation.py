@@ -15,8 +15,9 @@ KEYS = {
     PC88: base64.b64decode("wM/MhWKBDELDBOXmzRF1tpDklzXtsvxuN3drYDCG3ThEFTkt1E1i7XYJKazAz8SDV8HLdNTZeNEnEXW+ltHX8tulIfMAnWtgOIDoeIMjLvBJeojtdgEvmYAI8pSKXPye1Nlw1xJRsoiBDErFMaUh+waoK6cOlzXltMku8EF8va2xNzhEHT8YlIpU+quUHkY="),
     "gwbasic": base64.b64decode("4Elnt0at7F3pg/WQF4yTDVWmawnmFZ1j/M3ice2TR9T1toPHuZIvArcQLLvsY6JZrVty6eMQ9AQtmLnMu02dk1IfIGZw9/5bLH2wJm9qiUzABhUencnGVPb5FlMiXubT/yY11sZiI4CxwpwHbAP2o4IgDMGgdyMj+0SVYnns/uwHfdDf/W0wTwybDDwJwIE="),
 }
-_ROTATED = "".join(chr(b << 1 & 255 | b >> 7) for b in range(256))
-_PLAIN = "".join(map(chr, range(256)))
+# The byte 0 stays itself and must be left out: a translation to the character 0 would delete it.
+_ROTATED = "".join(chr(b << 1 & 255 | b >> 7) for b in range(1, 256))
+_PLAIN = "".join(map(chr, range(1, 256)))
 
 
 def _bytewise(data: Column, change) -> Column:

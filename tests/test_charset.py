@@ -59,5 +59,7 @@ def test_encoding_columns(spark):
     rows = df.select(F.hex(cs.encode(F.col("t"), cs.PC98)).alias("full"), F.hex(cs.encode_fast(F.col("t"), cs.PC98)).alias("fast")).collect()
     assert [r.full for r in rows] == ["4142435C", None, "", None, "B6"]
     assert [r.fast for r in rows] == ["4142435C", None, "", None, None]
+    whole = spark.range(1).select(cs.encode_fast(F.lit(cs.TABLES[cs.PC98]), cs.PC98).alias("b")).first().b
+    assert bytes(whole) == bytes(range(256))
     with pytest.raises(Exception, match="U\\+8A9E"):
         df.select(cs.encode(F.col("t"), cs.PC98, errors="raise")).collect()
