@@ -6,7 +6,12 @@ to the next one or stays, by a random bit that depends on step and character onl
 edits apart write the same symbols again soon after each edit. ``BANDS`` bands of ``ROWS``
 sampled steps hash to buckets. In a bucket a spanning tree over sampled symbols gives the pairs
 to verify, and these are verified by their exact edit distance. Two texts are near if it is at
-most ``EDITS`` and at most a 25th of the longer one; groups are the connected components.
+most a 25th of the longer one, whatever their length; groups are the connected components.
+
+The more edits there are, the longer a walk stays out of step, so texts of ``WINDOWED`` characters
+and more are put into buckets by windows instead: a band is the hash of ``PICKS`` windows of
+``WINDOW`` characters, each the least by hash of its share of all hashes (one-permutation min-wise
+sampling). Their printed fingerprint is the walks' too.
 
 Steps are sampled by length class, texts of a length near a class's edge being in two classes,
 so near texts share a class. Equal texts are folded into one first. Only texts in a candidate
@@ -31,11 +36,15 @@ from pyspark.sql import functions as F
 from . import graph
 from .common import chunks, code_points, digest, list_array, mix64, ragged_arange, written
 
-EDITS, PART = 24, 25
+#: Edits that are looked for along diagonals; more are counted by bit vectors.
+EDITS = 24
+PART = 25
 WALKS, BANDS, ROWS, SKETCH = 4, 24, 7, 24
 #: The walks' random bits repeat after so many steps; characters have one of KINDS sets of bits.
 PERIOD, KINDS = 8192, 64
 SHORTEST, RATIO = 20, 1.25
+#: Least length of a class whose bands are windows; characters of a window; windows of a band.
+WINDOWED, WINDOW, PICKS = 300, 12, 2
 #: Widths below which documents are walked one at a time.
 NARROW = 48
 #: Characters of a batch: enough that walks go over many texts at once.
@@ -102,7 +111,7 @@ def arrivals(kinds: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walk: i
 
 def allowed(n: np.ndarray) -> np.ndarray:
     """Edits within which a text of n characters is near another one that is not longer."""
-    return np.minimum(EDITS, n // PART)
+    return n // PART
 
 
 def class_of(n: np.ndarray) -> np.ndarray:
@@ -116,6 +125,33 @@ def steps_of(classes: np.ndarray, walk: int, many: int) -> np.ndarray:
     return (part * 1.9 * (SHORTEST * RATIO ** classes[:, None])).astype(np.int64)
 
 
+def windows(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Band keys of each text from its least windows; a share without a window takes the next one's."""
+    shares = BANDS * PICKS
+    out = np.full(len(lengths) * shares, np.iinfo(np.uint64).max, dtype=np.uint64)
+    if len(points) >= WINDOW:
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        h, many = mix64(points.astype(np.uint64) + odd), 1
+        while many < WINDOW:
+            more = min(many, WINDOW - many)
+            h = mix64(h[:-more] * odd + h[more:])
+            many += more
+        text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)[: len(h)]
+        inside = np.arange(len(h), dtype=np.int64) + WINDOW <= np.cumsum(lengths)[text]
+        h, text = h[inside], text[inside]
+        np.minimum.at(out, text * shares + (h % np.uint64(shares)).astype(np.int64), h // np.uint64(shares))
+    out = out.reshape(-1, shares)
+    for _ in range(shares):
+        empty = out == np.iinfo(np.uint64).max
+        if not empty.any():
+            break
+        out = np.where(empty, np.roll(out, -1, axis=1), out)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1 << 20), (len(lengths), BANDS))
+    for k in range(PICKS):
+        key = mix64(key ^ out[:, k::PICKS]) + np.uint64(k)
+    return key
+
+
 def sampled(points: np.ndarray, lengths: np.ndarray, which: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, sketches) of the texts ``which``, each sampled for the class beside it."""
     starts = np.cumsum(lengths) - lengths
@@ -137,15 +173,48 @@ def sampled(points: np.ndarray, lengths: np.ndarray, which: np.ndarray, classes:
                 key = mix64(key ^ symbols[:, k * ROWS + r]) + np.uint64(r)
             keys[:, walk * per + k] = key
         sketch[:, walk * (SKETCH // WALKS) : (walk + 1) * (SKETCH // WALKS)] = (symbols[:, per * ROWS :] >> np.uint64(13)).astype(np.uint8)
+    wide = SHORTEST * RATIO**classes >= WINDOWED
+    if wide.any():
+        own = windows(points, lengths)[which[wide]]
+        keys[wide] = mix64(own ^ mix64(classes[wide].astype(np.uint64) + np.uint64(1))[:, None])
     return keys, sketch
 
 
+def counted(a: str, b: str, most: int) -> int:
+    """Edit distance of a and b, or most + 1 where it is more, a column at a time (Myers, 1999; Hyyro, 2003)."""
+    m, n = len(a), len(b)
+    if not m:
+        return min(n, most + 1)
+    if sum(abs(a.count(c) - b.count(c)) for c in set(a) | set(b)) > 2 * most:
+        return most + 1  # an edit changes two counts at most
+    points = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    where = {chr(c): int.from_bytes(np.packbits(points == c, bitorder="little").tobytes(), "little") for c in np.unique(points).tolist()}
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    for j, c in enumerate(b, 1):
+        same = where.get(c, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        right, left = down | (full & ~(level | up)), up & level
+        score += bool(right & last) - bool(left & last)
+        if score - (n - j) > most:
+            return most + 1
+        right, left = (right << 1 | 1) & full, (left << 1) & full
+        up, down = left | (full & ~(level | right)), right & level
+    return min(score, most + 1)
+
+
 def distance(a: str, b: str, most: int) -> int:
-    """Edit distance of a and b, or most + 1 where it is more; diagonals as far as they reach (Landau and Vishkin)."""
+    """Edit distance of a and b, or most + 1 where it is more."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > most:
         return most + 1
+    found = reached(a, b, min(most, EDITS))
+    return found if found <= EDITS or most <= EDITS else counted(a, b, most)
+
+
+def reached(a: str, b: str, most: int) -> int:
+    """The same for few edits, a being no longer; diagonals as far as they reach (Landau and Vishkin)."""
     n, m = len(a), len(b)
     off = most + 1
     reach = [-2] * (2 * off + 1)
@@ -176,7 +245,7 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 def near(a: str, b: str) -> bool:
-    most = min(EDITS, max(len(a), len(b)) // PART)
+    most = max(len(a), len(b)) // PART
     return distance(a, b, most) <= most
 
 

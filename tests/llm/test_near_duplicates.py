@@ -169,3 +169,24 @@ def test_fingerprint_edges(spark):
     assert by == {1: 1, 2: 1, None: 1, 3: None, 4: 4, 5: 4, 6: None, 7: 7, 8: 7, 9: None}
     assert {d for d, _, f in got if f is None} == {1, 2, None, 3, 4, 5, 6}
     assert fingerprints.fingerprints(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_near_by_their_length(spark):
+    r = random.Random(21)
+    rows = []
+    for _ in range(12):
+        base = " ".join(words(r, r.randrange(400, 1500)))
+        rows += [base, edited(r, base, int(len(base) * r.choice([0.015, 0.025, 0.035])))]
+    got = {x.doc_id: x.group_id for x in fingerprints.fingerprints(table(spark, list(enumerate(rows)))).collect()}
+    assert all(fingerprints.near(rows[k], rows[k + 1]) for k in range(0, 24, 2))
+    assert sum(got[k] == got[k + 1] == k for k in range(0, 24, 2)) >= 11
+    assert all(got[k] in (None, k - k % 2) for k in got)
+
+
+def test_edit_distance_beyond_the_diagonals():
+    r = random.Random(5)
+    for k in range(200):
+        a = "".join(r.choice("abc") for _ in range(r.randrange(1, 90)))
+        b = edited(r, a, r.randrange(60)) if k % 2 else "".join(r.choice("abcd") for _ in range(r.randrange(90)))
+        most = r.randrange(80)
+        assert fingerprints.distance(a, b, most) == min(naive(a, b), most + 1)
