@@ -4,8 +4,10 @@ Shared random walks over a text's characters (Chakraborty, Goldenberg and Koucky
 distance to Hamming distance: at each step the walk writes the character it stands on and moves
 to the next one or stays, by a random bit that depends on step and character only. Texts a few
 edits apart write the same symbols again soon after each edit. ``BANDS`` bands of ``ROWS``
-sampled steps hash to buckets. In a bucket a spanning tree over sampled symbols gives the pairs
-to verify, and these are verified by their exact edit distance. Two texts are near if it is at
+sampled steps hash to buckets. All pairs of a bucket are verified by their exact edit distance:
+first those of a spanning tree over sampled symbols, which joins most near texts, then every pair
+that is not in one group yet; buckets of more than ``BLOCK`` rows are compared in tasks of two
+blocks. Two texts are near if it is at
 most a 25th of the longer one, whatever their length; groups are the connected components.
 
 The more edits there are, the longer a walk stays out of step, so texts of ``WINDOWED`` characters
@@ -38,6 +40,8 @@ from .common import chunks, code_points, digest, list_array, mix64, ragged_arang
 
 #: Edits that are looked for along diagonals; more are counted by bit vectors.
 EDITS = 24
+#: Edits above which a pair's runs of GRAM characters are compared first.
+FEW, GRAM = 4, 8
 PART = 25
 WALKS, BANDS, ROWS, SKETCH = 4, 24, 7, 24
 #: The walks' random bits repeat after so many steps; characters have one of KINDS sets of bits.
@@ -49,6 +53,8 @@ WINDOWED, WINDOW, PICKS = 300, 12, 2
 NARROW = 48
 #: Characters of a batch: enough that walks go over many texts at once.
 BATCH_CHARS = 4_000_000
+#: Rows of a block; a task compares one block, or two with each other.
+BLOCK = 128
 #: Bits of the bitmap of candidate texts.
 BITMAP = 1 << 26
 _MASK = PERIOD - 1
@@ -134,11 +140,11 @@ def windows(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         h, many = mix64(points.astype(np.uint64) + odd), 1
         while many < WINDOW:
             more = min(many, WINDOW - many)
-            h = mix64(h[:-more] * odd + h[more:])
+            h = h[:-more] * (odd + np.uint64(2 * many)) + h[more:]
             many += more
         text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)[: len(h)]
         inside = np.arange(len(h), dtype=np.int64) + WINDOW <= np.cumsum(lengths)[text]
-        h, text = h[inside], text[inside]
+        h, text = mix64(h[inside]), text[inside]
         np.minimum.at(out, text * shares + (h % np.uint64(shares)).astype(np.int64), h // np.uint64(shares))
     out = out.reshape(-1, shares)
     for _ in range(shares):
@@ -185,8 +191,6 @@ def counted(a: str, b: str, most: int) -> int:
     m, n = len(a), len(b)
     if not m:
         return min(n, most + 1)
-    if sum(abs(a.count(c) - b.count(c)) for c in set(a) | set(b)) > 2 * most:
-        return most + 1  # an edit changes two counts at most
     points = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     where = {chr(c): int.from_bytes(np.packbits(points == c, bitorder="little").tobytes(), "little") for c in np.unique(points).tolist()}
     full, last = (1 << m) - 1, 1 << (m - 1)
@@ -203,13 +207,30 @@ def counted(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
+def grams(text: str) -> np.ndarray:
+    h = mix64(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1))
+    for k in range(3):
+        h = h[: -(1 << k)] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[1 << k :]
+    return h
+
+
+def apart(a: str, b: str) -> int:
+    """Edits that b's runs of GRAM characters which a lacks ask for; the edit distance is never less."""
+    if min(len(a), len(b)) < GRAM:
+        return 0
+    return -(-int(np.count_nonzero(~np.isin(grams(b), grams(a)))) // GRAM)  # an edit breaks GRAM runs at most
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance of a and b, or most + 1 where it is more."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > most:
         return most + 1
-    found = reached(a, b, min(most, EDITS))
+    least = apart(a, b) if most > FEW else 0
+    if least > most:
+        return most + 1
+    found = reached(a, b, min(most, EDITS)) if least <= EDITS else most + 1
     return found if found <= EDITS or most <= EDITS else counted(a, b, most)
 
 
@@ -320,6 +341,74 @@ def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     return held.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def tasks(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(task, key, side, row, root, b): what is left to compare in buckets that have several groups.
+
+    Buckets of BLOCK rows at most give their pairs as row and b. Larger ones give their rows, in a
+    task for each pair of blocks; side is null in a block's own task, and b in all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in graph.by_region(batches, "key"):
+            key, row, root = (table.column(c).to_numpy() for c in ("key", "row", "root"))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            mixed = root[starts] != root[ends - 1]  # sorted by root
+            pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+                if e - s <= BLOCK:
+                    one, two = np.triu_indices(e - s, 1)
+                    other = root[s + one] != root[s + two]
+                    pairs.append((row[s + one[other]], row[s + two[other]]))
+                    continue
+                blocks = [np.arange(x, min(x + BLOCK, e)) for x in range(s, e, BLOCK)]
+                for i, one in enumerate(blocks):
+                    for j, two in enumerate(blocks[i:], i):
+                        if root[one[0]] == root[two[-1]]:
+                            continue
+                        at = one if i == j else np.concatenate([one, two])
+                        side = np.repeat([0, 1], [len(one), len(at) - len(one)])
+                        n = len(at)
+                        yield pa.record_batch({"i": pa.array(np.full(n, i)), "j": pa.array(np.full(n, j)), "key": pa.array(key[at]), "side": pa.array(side, mask=np.full(n, i == j)), "row": pa.array(row[at]), "root": pa.array(root[at]), "b": pa.nulls(n, pa.int64())})
+            if pairs:
+                one, two = (np.concatenate(x) for x in zip(*pairs))
+                none = pa.nulls(len(one), pa.int64())
+                yield pa.record_batch({"i": none, "j": none, "key": none, "side": none, "row": pa.array(np.minimum(one, two)), "root": none, "b": pa.array(np.maximum(one, two))})
+
+    known = reps.select("row", "keys").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    entries = known.select("row", F.coalesce("root", "row").alias("root"), F.explode("keys").alias("key"))
+    found = entries.repartition("key").sortWithinPartitions("key", "root", "row").mapInArrow(run, "i long, j long, key long, side long, row long, root long, b long")
+    return found.select(F.xxhash64("key", "i", "j").alias("task"), "key", "side", "row", "root", "b")
+
+
+def compared(held: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): near pairs of the tasks' rows, as many as join all that are near; a pair is compared in the least bucket that it shares."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in graph.by_region(batches, "task"):
+            a, b = [], []
+            task = table.column("task").to_numpy()
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            for s, e in zip(cuts, cuts[1:]):
+                own = table.slice(s, e - s)
+                key, side, row, root, text = (own.column(c).to_pylist() for c in ("key", "side", "row", "root", "text"))
+                buckets = [set(x) for x in own.column("keys").to_pylist()]
+                for i in range(e - s):
+                    for j in range(i + 1, e - s):
+                        if root[i] == root[j] or side[i] is not None and side[i] == side[j] or key[i] != min(buckets[i] & buckets[j], default=None):
+                            continue
+                        if near(text[i], text[j]):
+                            a.append(row[i])
+                            b.append(row[j])
+                            root = [root[i] if x == root[j] else x for x in root]
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    nodes = written(held.select("row").distinct().join(reps.select("row", "digest", "keys"), "row"))
+    texts = wanted(rows, nodes.select("digest")).groupBy("digest").agg(F.first("text").alias("text"))
+    named = nodes.join(texts, "digest").select("row", "keys", "text")
+    return held.join(named, "row").select("task", "key", "side", "row", "root", "keys", "text").repartition("task").sortWithinPartitions("task", "root", "row").mapInArrow(check, "a long, b long")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, group_id) of each document; group_id is null where no other is near."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -327,7 +416,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folded = signed.groupBy("digest").agg(F.min("row").alias("row"), F.first("keys").alias("keys"), F.first("sketches").alias("sketches"))
     reps = written(folded)
     pairs = written(candidates(reps))
-    roots = graph.components(verified(pairs, reps, rows))
+    edges = written(verified(pairs, reps, rows))
+    roots = graph.components(edges)
+    held = written(tasks(reps, roots))
+    left = held.where("b IS NOT NULL").select(F.col("row").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = verified(written(left), reps, rows)
+    hot = held.where("b IS NULL").drop("b")
+    if not hot.isEmpty():
+        more = more.unionByName(compared(hot, reps, rows))
+    more = written(more)
+    if not more.isEmpty():
+        roots = graph.components(edges.unionByName(more))
     placed = reps.select("digest", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("root", "row").alias("root"))
     member = signed.select("doc_id", "digest", "print").join(placed, "digest")
     groups = member.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))).alias("least")).where("n > 1").select("root", F.col("least.doc_id").alias("group_id"))

@@ -190,3 +190,17 @@ def test_edit_distance_beyond_the_diagonals():
         b = edited(r, a, r.randrange(60)) if k % 2 else "".join(r.choice("abcd") for _ in range(r.randrange(90)))
         most = r.randrange(80)
         assert fingerprints.distance(a, b, most) == min(naive(a, b), most + 1)
+
+
+def test_all_pairs_of_a_templated_bucket_are_verified(spark):
+    r = random.Random(31)
+    head = " ".join(words(r, 400))[:1850]
+    rows = []
+    for _ in range(70):
+        base = head + " ".join(words(r, 60))[:250]  # the walks' samples end before the passage
+        rows += [base, base[:1900] + edited(r, base[1900:], 5)]
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    got = {x.doc_id: x.group_id for x in fingerprints.fingerprints(table(spark, [(k, rows[k]) for k in order])).collect()}
+    assert not fingerprints.near(rows[0], rows[2])
+    assert all(got[k] == got[k + 1] == k for k in range(0, len(rows), 2))
