@@ -1,11 +1,12 @@
 """Secret scans by dictionary-primed compression novelty.
 
-A candidate is a run of 12 to 512 token characters in a sensitive context: after a name such as
-key, token, secret or password and an assignment, after an authorization word, or with a known
-issuer's prefix. Its novelty is what it adds to the compressed size of its surroundings: the
+A candidate is a whole run of 12 token characters or more in a sensitive context: after a name such
+as key, token, secret or password and an assignment, after an authorization word, or with a known
+issuer's prefix; or a PEM private key, with its frame and, where its end is missing, as far as it goes. Its novelty is what it adds to the compressed size of its surroundings: the
 window around it is compressed with and without the candidate by zstandard, primed with a
 dictionary of common identifiers and code, and the difference in bytes is divided by the
-candidate's length. Identifiers, placeholders, paths and words that repeat nearby compress to
+candidate's length; of a PEM block its inside counts. A long candidate whose whole is not novel
+enough counts by its first ``HEAD`` characters, so what follows a secret doesn't hide it. Identifiers, placeholders, paths and words that repeat nearby compress to
 little; random strings don't.
 
 The candidate's other occurrences are taken out of its surroundings first, so that a secret
@@ -32,14 +33,18 @@ from .common import chunks, rewritten
 WINDOW = 160
 #: Bytes of compressed output that a byte of the candidate must add.
 NOVELTY = 0.6
+#: Characters of a longer candidate that are novel enough by themselves.
+HEAD = 512
 MASK = "[secret]"
 
 NAMES = r"(?:api|access|auth|client|private|secret|session|signing|encryption|master|account|db|database|aws|user|root|admin)?[ _.-]?(?:key|token|secret|passw(?:or)?d|pwd|passphrase|credential|bearer|signature)s?(?:[ _.-]?(?:id|key|value|hash))?"
-VALUE = r"[A-Za-z0-9+/_=.~$!@%^&*-]{12,512}"
+VALUE = r"[A-Za-z0-9+/_=.~$!@%^&*-]{12,}"
+FRAME = r"-----{} (?:[A-Z0-9]+ ){{0,3}}PRIVATE KEY(?: BLOCK)?-----"
 CANDIDATE = re.compile(
-    rf"(?i:\b{NAMES}[\"']?\s{{0,4}}(?:[:=]{{1,3}}>?|\bis\b)\s{{0,4}})(?:([\"'`])(?P<quoted>[^\"'`\s]{{12,512}})\1|(?P<bare>[A-Za-z0-9+/_=.~-]{{12,512}}))"
-    rf"|(?i:\b(?:bearer|basic)\s{{1,3}})(?P<auth>[A-Za-z0-9+/_=.~-]{{12,512}})"
-    rf"|(?P<issued>\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{30,255}}\b|\bxox[abprs]-[A-Za-z0-9-]{{10,250}}|\bsk_(?:live|test)_[A-Za-z0-9]{{16,250}}\b|\bAIza[A-Za-z0-9_-]{{35}}\b|\beyJ[A-Za-z0-9_-]{{8,400}}\.[A-Za-z0-9_-]{{8,400}}\.[A-Za-z0-9_-]{{8,400}})"
+    rf"(?i:\b{NAMES}[\"']?\s{{0,4}}(?:[:=]{{1,3}}>?|\bis\b)\s{{0,4}})(?:([\"'`])(?P<quoted>[^\"'`\s]{{12,}})\1|(?P<bare>[A-Za-z0-9+/_=.~-]{{12,}}))"
+    rf"|(?i:\b(?:bearer|basic)\s{{1,3}})(?P<auth>[A-Za-z0-9+/_=.~-]{{12,}})"
+    rf"|(?P<issued>\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{30,}}\b|\bxox[abprs]-[A-Za-z0-9-]{{10,}}|\bsk_(?:live|test)_[A-Za-z0-9]{{16,}}\b|\bAIza[A-Za-z0-9_-]{{35}}\b|\beyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}})"
+    rf"|(?P<pem>{FRAME.format('BEGIN')}(?P<inside>(?:(?!-----)[\s\S])*+){FRAME.format('END')}|{FRAME.format('BEGIN')}(?P<cut>[A-Za-z0-9+/=\s\\]*+))"
 )
 #: RE2 test, over a batch at once, that no text with a candidate fails.
 HINT = r"(?i:key|token|secret|passw|pwd|passphrase|credential|bearer|signature|basic\s)|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_|AIza|eyJ"
@@ -84,7 +89,13 @@ def findings(text: str | None, threshold: float = NOVELTY) -> list[tuple[int, in
         start, end = m.span(group)
         if group in ("bare", "auth") and not _DIGIT.search(m[group]):
             continue
-        if (score := novelty(text, start, end)) >= threshold:
+        inner = m.span("inside" if m["inside"] is not None else "cut") if group == "pem" else (start, end)
+        if inner[1] - inner[0] < 12:
+            continue
+        score = novelty(text, *inner)
+        if score < threshold and inner[1] - inner[0] > HEAD:
+            score = max(score, novelty(text, inner[0], inner[0] + HEAD))
+        if score >= threshold:
             out.append((start, end, score))
     return out
 
