@@ -21,66 +21,104 @@ def docs_of(spark, texts):
 TEXTS = ["The cat sat on the mat", "the dog sat on the log", "a cat saw a dog", "the cat saw the log", None, "", "?!", "the the the", "zebra"]
 
 
+def random_pairs(r, words, selves, most=30):
+    pairs = np.zeros((words + 2, words + 2))
+    pairs[:words, :words] = r.integers(0, most, (words, words)) * (r.random((words, words)) < 0.4)
+    pairs[:words, words], pairs[words, :words], pairs[words + 1, : words + 1] = r.integers(0, 9, words), r.integers(0, 9, words), r.integers(0, 9, words + 1)
+    pairs[words, words] = 5
+    pairs[np.arange(words), np.arange(words)] *= selves
+    return pairs
+
+
+def whole(pairs, classes):
+    return brown.likelihood(brown.between(pairs, np.asarray(classes)))
+
+
+@pytest.mark.parametrize("selves", [0, 1, 20])
+def test_exchange_takes_the_best_class_of_each_word(selves):
+    r = np.random.default_rng(selves)
+    for _ in range(60):
+        pairs = random_pairs(r, 12, selves)
+        classes = np.append(np.append(np.arange(4), r.integers(0, 4, 8)), [4, 5])
+        now = classes
+        for _ in range(4):
+            step = list(now)
+            for w in range(12):
+                value = [whole(pairs, [*step[:w], d, *step[w + 1 :]]) for d in range(4)]
+                best = int(np.argmax(value))
+                if value[best] > value[step[w]] + 1e-5:
+                    step[w] = best
+            nxt = brown.exchange(pairs, now, 12, 4)
+            assert whole(pairs, nxt) >= whole(pairs, now) - 1e-6
+            assert abs(whole(pairs, nxt) - whole(pairs, step)) < 1e-3
+            now = nxt
+
+
+@pytest.mark.parametrize("selves", [0, 1, 5])
+def test_rest_words_take_their_best_class(selves):
+    r = np.random.default_rng(selves)
+    code = brown.Contexts(3)
+    for _ in range(60):
+        pairs = random_pairs(r, 9, selves, 6)
+        pairs[9] = pairs[:, 9] = 0  # words 6, 7 and 8 are the rest
+        classes = np.array([0, 1, 2, 0, 1, 2, 3, 3, 3, 3, 4])
+        n = brown.between(pairs, classes)
+        for w in (6, 7, 8):
+            # contexts from single occurrences: any pairing of the left ones with the right ones will do
+            left = [c for v in range(11) if v != w for c in [int(classes[v])] * int(pairs[v, w])] + [code.self_] * int(pairs[w, w])
+            right = [c for v in range(9) if v != w for c in [int(classes[v])] * int(pairs[w, v])] + [code.self_] * int(pairs[w, w])
+            size = max(len(left), len(right), 1)
+            left += [code.end] * (size - len(left))
+            right += [code.end] * (size - len(right))
+            keys, count = np.unique([a << 8 | b for a, b in zip(left, right)], return_counts=True)
+            got = int(brown.best_classes(np.zeros(len(keys), np.int64), keys, count.astype(float), n, 3)[0])
+            value = [whole(pairs, [*classes[:w], d, *classes[w + 1 :]]) for d in range(3)]
+            assert value[got] >= max(value) - 1e-6
+
+
 def test_brown_scores_by_brute_force(spark):
-    docs = docs_of(spark, TEXTS)
-    model = brown.train(docs.select("text"), vocabulary=6, classes=3, rounds=3)
-    tokens = {k: re.findall(r"\w+", (t or "").lower()) for k, t in enumerate(TEXTS)}
-    from diskloom.llm.common import words
-
-    number = brown.Numbering(model.hashes)
-    of = lambda w: int(number.of(words(pa.array([w]))[1])[0])
-    assert np.allclose(np.exp(model.transition).sum(axis=1), 1.0)
-    counts, kinds = {}, set()
-    for ws in tokens.values():
-        before = number.start
-        for w in ws:
-            a, b = model.classes[before], model.classes[of(w)]
-            counts[a, b] = counts.get((a, b), 0) + 1
-            before = of(w)
-            if of(w) == number.rare:
-                kinds.add(w)
-    many = int(model.classes.max())
-    total = sum(counts.values())
-    word_n = {}
-    for ws in tokens.values():
-        for w in ws:
-            word_n[w] = word_n.get(w, 0) + 1
-
-    def p(a, b, w):
-        row = {k[1]: v for k, v in counts.items() if k[0] == a}
-        base = (sum(v for k, v in counts.items() if k[1] == b) + 1) / (total + many)
-        t = max(1, len(row))
-        emit = 1 / (len(kinds) + 1) if of(w) == number.rare else word_n[w] / sum(n for x, n in word_n.items() if of(x) != number.rare and model.classes[of(x)] == b)
-        return (row.get(b, 0) + t * base) / (sum(row.values()) + t) * emit
-
-    got = {r.doc_id: r for r in brown.score(docs.select("doc_id", "text"), model).collect()}
-    for k, ws in tokens.items():
-        before, log = number.start, 0.0
-        for w in ws:
-            log += math.log(p(model.classes[before], model.classes[of(w)], w))
-            before = of(w)
-        assert got[k].n_words == len(ws) and math.isclose(got[k].log_prob, log, abs_tol=1e-9)
-        assert got[k].perplexity is None if not ws else math.isclose(got[k].perplexity, math.exp(-log / len(ws)))
-
-
-def test_exchange_gains_likelihood():
-    r = np.random.default_rng(1)
-    kinds = np.arange(40) % 2  # words of two kinds take turns
-    pairs = np.zeros((42, 42), np.int64)
-    before = 41
-    for k in range(20000):
-        w = int(r.choice(np.flatnonzero(kinds == k % 2)))
-        pairs[before, w] += 1
-        before = w
-    classes = np.append(r.integers(0, 2, 40), [2, 3])
-    first = None
-    for _ in range(4):
-        one = np.eye(4, dtype=np.int64)[classes]
-        right, left = pairs @ one, pairs.T @ one
-        now = brown.likelihood(brown.between(right, classes))
-        first = now if first is None else first
-        classes = brown.exchange(right, left, classes, 40, 2)
-    assert now > first and len({tuple(classes[:40][kinds == k]) for k in (0, 1)}) == 2 and all(len(set(classes[:40][kinds == k])) == 1 for k in (0, 1))
+    r = random.Random(8)
+    vocabulary = ["w" + "abcdefghij"[k % 10] * (1 + k // 10) for k in range(60)]
+    texts = TEXTS + [" ".join(r.choice(vocabulary[: r.choice([3, 10, 60])]) for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    docs = docs_of(spark, texts)
+    tokens = {k: re.findall(r"\w+", (t or "").lower()) for k, t in enumerate(texts)}
+    for seeds, most in ((4, 12), (100, 100), (4, 4)):
+        full, n, kinds, many = brown.classified(docs.select("doc_id", "text"), seeds, most, 3, 5)
+        rows = {x.doc_id: [b & 127 for b in x.codes] for x in full.collect()}
+        classes, count, pairs = {}, {}, {}
+        for k, ws in tokens.items():
+            assert len(ws) == len(rows[k])
+            for at, w in enumerate(ws):
+                assert classes.setdefault(w, rows[k][at]) == rows[k][at] < many  # one class for each word, and one for every word
+                count[w] = count.get(w, 0) + 1
+                before = rows[k][at - 1] if at else "start"
+                pairs[before, rows[k][at]] = pairs.get((before, rows[k][at]), 0) + 1
+        of = lambda c: [w for w in classes if classes[w] == c]
+        assert kinds.tolist() == [len(of(c)) for c in range(many)]
+        total = sum(pairs.values())
+
+        def p(a, b, w):
+            row = {k[1]: v for k, v in pairs.items() if k[0] == a}
+            base = (sum(v for k, v in pairs.items() if k[1] == b) + 1) / (total + many)
+            return (row.get(b, 0) + len(row) * base) / (sum(row.values()) + len(row)) * count[w] / (sum(count[x] for x in of(b)) + len(of(b)))
+
+        got = {x.doc_id: x for x in brown.perplexities(docs, seeds=seeds, most=most, classes=3, rounds=5).collect()}
+        for k, ws in tokens.items():
+            log = sum(math.log(p(classes[ws[at - 1]] if at else "start", classes[w], w)) for at, w in enumerate(ws))
+            assert got[k].n_words == len(ws) and math.isclose(got[k].log_prob, log, abs_tol=1e-7)
+            assert got[k].perplexity is None if not ws else math.isclose(got[k].perplexity, math.exp(-log / len(ws)))
+        assert np.allclose(np.exp(brown.transitions(n, many)).sum(axis=1), 1.0)
+
+
+def test_brown_classes_part_words_of_two_kinds(spark):
+    r = random.Random(1)
+    kinds = [["ab" + "x" * k for k in range(20)], ["cd" + "y" * k for k in range(20)]]  # words of two kinds take turns
+    docs = docs_of(spark, [" ".join(r.choice(kinds[k % 2]) for k in range(200)) for _ in range(40)])
+    for seeds, most in ((40, 40), (10, 20), (10, 10)):
+        full = brown.classified(docs.select("doc_id", "text"), seeds, most, 2, 9)[0]
+        for x in full.collect():
+            own = [b & 127 for b in x.codes]
+            assert len(set(own[::2])) == len(set(own[1::2])) == 1 and own[0] != own[1]
 
 
 def test_brown_edges(spark):
@@ -90,6 +128,12 @@ def test_brown_edges(spark):
     assert brown.perplexities(docs.limit(0)).count() == 0
     twice = docs_of(spark, ["same words here"] * 3)
     assert len({round(r.log_prob, 9) for r in brown.perplexities(twice).collect()}) == 1
+    clash = spark.createDataFrame([(None, "a b", 1, 2, b"x"), (3, "a b", 1, 2, b"y")], "doc_id long, text string, n_words int, `row` int, codes binary")
+    assert [(r.doc_id, r.n_words) for r in brown.perplexities(clash).orderBy("doc_id").collect()] == [(None, 2), (3, 2)]
+    # equal frequencies are ordered by hash: the order of rows and partitions changes nothing
+    tied = docs_of(spark, [f"w{k} v{k} u{k % 7}" for k in range(40)])
+    one, two = ({r.doc_id: round(r.log_prob, 9) for r in brown.perplexities(d, seeds=5, most=9, classes=3).collect()} for d in (tied, tied.orderBy(F.desc("doc_id")).repartition(3)))
+    assert one == two
 
 
 def plain_fill(demands, limits):
