@@ -4,11 +4,12 @@ Shared random walks over a text's characters (Chakraborty, Goldenberg and Koucky
 distance to Hamming distance: at each step the walk writes the character it stands on and moves
 to the next one or stays, by a random bit that depends on step and character only. Texts a few
 edits apart write the same symbols again soon after each edit. ``BANDS`` bands of ``ROWS``
-sampled steps hash to buckets. All pairs of a bucket are verified by their exact edit distance:
-first those of a spanning tree over sampled symbols, which joins most near texts, then every pair
-that is not in one group yet; buckets of more than ``BLOCK`` rows are compared in tasks of two
-blocks. Two texts are near if it is at
-most a 25th of the longer one, whatever their length; groups are the connected components.
+sampled steps hash to buckets. Two texts are near if their exact edit distance is at most a 25th of the
+longer one, whatever their length; groups are the connected components. All pairs of a bucket are
+looked at: those of a spanning tree over sampled symbols, which joins most near texts, are verified
+first; then, in buckets that still have several groups, the 3-gram counts of every two texts of unlike
+groups, which give a lower bound of their distance, and where the bound allows it the texts. Buckets
+of more than ``BLOCK`` rows are compared in tasks of two blocks of texts of about a length.
 
 The more edits there are, the longer a walk stays out of step, so texts of ``WINDOWED`` characters
 and more are put into buckets by windows instead: a band is the hash of ``PICKS`` windows of
@@ -38,11 +39,10 @@ from pyspark.sql import functions as F
 from . import graph
 from .common import chunks, code_points, digest, list_array, mix64, ragged_arange, written
 
-#: Edits that are looked for along diagonals; more are counted by bit vectors.
-EDITS = 24
-#: Edits above which a pair's runs of GRAM characters are compared first.
-FEW, GRAM = 4, 8
+#: Near texts have an edit distance of one PART-th of the longer one at most.
 PART = 25
+#: Characters of the runs that bound the distance from below; of those at which a way from text to text goes on, and how far these are looked for.
+GRAM, RESUME, REACH = 4, 12, 64
 WALKS, BANDS, ROWS, SKETCH = 4, 24, 7, 24
 #: The walks' random bits repeat after so many steps; characters have one of KINDS sets of bits.
 PERIOD, KINDS = 8192, 64
@@ -53,8 +53,8 @@ WINDOWED, WINDOW, PICKS = 300, 12, 2
 NARROW = 48
 #: Characters of a batch: enough that walks go over many texts at once.
 BATCH_CHARS = 4_000_000
-#: Rows of a block; a task compares one block, or two with each other.
-BLOCK = 128
+#: Rows of a block; a task compares one block, or two with each other. Bins of the profiles that it compares.
+BLOCK, BINS = 512, 1024
 #: Bits of the bitmap of candidate texts.
 BITMAP = 1 << 26
 _MASK = PERIOD - 1
@@ -187,91 +187,130 @@ def sampled(points: np.ndarray, lengths: np.ndarray, which: np.ndarray, classes:
 
 
 def counted(a: str, b: str, most: int) -> int:
-    """Edit distance of a and b, or most + 1 where it is more, a column at a time (Myers, 1999; Hyyro, 2003)."""
+    """Edit distance of a and b, or most + 1 where it is more: a column at a time, as bits of a band
+    of 2 * most + 2 rows along the diagonal (Myers, 1999; Hyyro, 2003)."""
+    if len(a) > len(b):
+        a, b = b, a
     m, n = len(a), len(b)
+    most = min(most, n)
+    if n - m > most:
+        return most + 1
     if not m:
-        return min(n, most + 1)
+        return n
     points = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    where = {chr(c): int.from_bytes(np.packbits(points == c, bitorder="little").tobytes(), "little") for c in np.unique(points).tolist()}
-    full, last = (1 << m) - 1, 1 << (m - 1)
-    up, down, score = full, 0, m
-    for j, c in enumerate(b, 1):
+    marks = {chr(c): np.packbits(points == c, bitorder="little").tobytes() for c in np.unique(points).tolist()}
+    wide = 2 * most + 2
+    full, corner, above = (1 << wide) - 1, 1 << (wide - 1), 1 << (wide - 2 - max(0, most - m))
+    up, down, score = full ^ ((1 << (wide - most - 1)) - 1), 0, min(most, m)
+    row = most + 1 - wide  # of the band's lowest bit
+    bound = most + n - max(0, m - most)
+    where: dict[str, int] = {}
+    base = until = 0
+    for j, c in enumerate(b):
+        if j == until:  # the marks of the rows that the next columns' bands reach
+            base, until = max(0, row) // 8 * 8, j + 512
+            where = {x: int.from_bytes(raw[base // 8 : (row + wide + 512) // 8 + 1], "little") for x, raw in marks.items()}
         same = where.get(c, 0)
-        level = (((same & up) + up) ^ up) | same | down
-        right, left = down | (full & ~(level | up)), up & level
-        score += bool(right & last) - bool(left & last)
-        if score - (n - j) > most:
+        same = (same >> row - base if row >= base else same << base - row) & full
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        right, left = down | (full & ~(level | up)), level & up
+        if j < m - most:
+            score += not level & corner
+        else:
+            score += bool(right & above) - bool(left & above)
+            above >>= 1
+        if score > bound:
             return most + 1
-        right, left = (right << 1 | 1) & full, (left << 1) & full
-        up, down = left | (full & ~(level | right)), right & level
+        level >>= 1
+        up, down = left | (full & ~(level | right)), level & right
+        row += 1
     return min(score, most + 1)
 
 
 def grams(text: str) -> np.ndarray:
+    """Hashes of the runs of GRAM characters, a power of two."""
     h = mix64(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1))
-    for k in range(3):
-        h = h[: -(1 << k)] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[1 << k :]
+    k = 1
+    while k < GRAM:
+        h = h[:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:]
+        k *= 2
     return h
 
 
 def apart(a: str, b: str) -> int:
-    """Edits that b's runs of GRAM characters which a lacks ask for; the edit distance is never less."""
+    """Edits that runs of GRAM characters which only one text has ask for; the edit distance is never less."""
     if min(len(a), len(b)) < GRAM:
         return 0
-    return -(-int(np.count_nonzero(~np.isin(grams(b), grams(a)))) // GRAM)  # an edit breaks GRAM runs at most
+    least, (x, y) = 0, (grams(a), grams(b))
+    for own, other in ((x, y), (y, x)):
+        at = np.flatnonzero(~np.isin(own, other))
+        reach = found = 0
+        for k in at.tolist():  # runs that don't touch each other need an edit each
+            if k >= reach:
+                found, reach = found + 1, k + GRAM
+        least = max(least, found)
+    return least
+
+
+def common(a: str, b: str, i: int, j: int) -> int:
+    """Characters that a from i and b from j have in common."""
+    at, step = 0, 16
+    while step:
+        if a[i + at : i + at + step] == b[j + at : j + at + step] and i + at + step <= len(a) and j + at + step <= len(b):
+            at, step = at + step, step * 2
+        else:
+            step = step // 2
+            while step and not (i + at + step <= len(a) and j + at + step <= len(b) and a[i + at : i + at + step] == b[j + at : j + at + step]):
+                step //= 2
+            if step:
+                at += step
+                step //= 2
+    while i + at < len(a) and j + at < len(b) and a[i + at] == b[j + at]:
+        at += 1
+    return at
+
+
+def resumed(a: str, b: str, most: int) -> int:
+    """Edits of one way from a to b, or most + 1 where they are more; the edit distance is never more.
+
+    What is common is kept; behind a difference the way goes on where RESUME characters of a are
+    in b again.
+    """
+    i = j = total = 0
+    n, m = len(a), len(b)
+    while total <= most:
+        k = common(a, b, i, j)
+        i, j = i + k, j + k
+        if n - i < 2 * RESUME or m - j < 2 * RESUME:
+            return min(most + 1, total + (counted(a[i:], b[j:], most - total) if i < n and j < m else n - i + m - j))
+        for p in range(REACH):
+            q = b.find(a[i + p : i + p + RESUME], j, j + p + REACH) if i + p + RESUME <= n else -1
+            if q >= 0:
+                break
+        else:
+            return most + 1
+        total += counted(a[i : i + p], b[j:q], most) if p and q > j else max(p, q - j)
+        i, j = i + p, q
+    return most + 1
 
 
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance of a and b, or most + 1 where it is more."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > most:
-        return most + 1
-    least = apart(a, b) if most > FEW else 0
-    if least > most:
-        return most + 1
-    found = reached(a, b, min(most, EDITS)) if least <= EDITS else most + 1
-    return found if found <= EDITS or most <= EDITS else counted(a, b, most)
-
-
-def reached(a: str, b: str, most: int) -> int:
-    """The same for few edits, a being no longer; diagonals as far as they reach (Landau and Vishkin)."""
-    n, m = len(a), len(b)
-    off = most + 1
-    reach = [-2] * (2 * off + 1)
-    for d in range(most + 1):
-        nxt = [-2] * (2 * off + 1)
-        for k in range(-d, d + 1):  # diagonal: place in b less place in a
-            if d == 0:
-                i = 0
-            else:
-                i = max(reach[off + k] + 1, reach[off + k - 1] if k > -off else -2, reach[off + k + 1] + 1 if k < off else -2)
-                i = min(i, n)
-            j = i + k
-            if i < 0 or j < 0 or j > m:
-                continue
-            if i < n and j < m and a[i] == b[j]:
-                step = 16
-                while a[i : i + step] == b[j : j + step] and i + step <= n and j + step <= m:
-                    i, j, step = i + step, j + step, step * 2
-                while step:
-                    if i + step <= n and j + step <= m and a[i : i + step] == b[j : j + step]:
-                        i, j = i + step, j + step
-                    step >>= 1
-            nxt[off + k] = i
-            if i == n and j == m:
-                return d
-        reach = nxt
-    return most + 1
+    return most + 1 if len(b) - len(a) > most else counted(a, b, most)
 
 
 def near(a: str, b: str) -> bool:
+    """Whether the edit distance is at most a PART-th of the longer text: by a bound from above, one from below, else exactly."""
     most = max(len(a), len(b)) // PART
-    return distance(a, b, most) <= most
+    if abs(len(a) - len(b)) > most:
+        return False
+    return resumed(a, b, most) <= most or apart(a, b) <= most and distance(a, b, most) <= most
 
 
 def sign(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, digest, keys, sketches, print) of (row, doc_id, text); keys are BANDS a class."""
+    """(row, doc_id, digest, chars, keys, sketches, print) of (row, doc_id, text); keys are BANDS a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", BATCH_CHARS):
@@ -288,11 +327,11 @@ def sign(rows: DataFrame) -> DataFrame:
             blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(sketch), [None, pa.py_buffer(np.ascontiguousarray(sketch).tobytes())]).cast(pa.binary())
             first = np.cumsum(count) - count
             take = pa.array(first, pa.int64(), mask=count == 0)
-            yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "digest": part.column("digest"), "keys": list_array(pa.array(keys.ravel().view(np.int64)), count * BANDS), "sketches": list_array(blob, count), "print": blob.take(take)})
+            yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "digest": part.column("digest"), "chars": pa.array(lengths), "keys": list_array(pa.array(keys.ravel().view(np.int64)), count * BANDS), "sketches": list_array(blob, count), "print": blob.take(take)})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     held = rows.where("text IS NOT NULL").select("row", "doc_id", digest("text").alias("digest"), "text")
-    return held.mapInArrow(run, f"row long, doc_id {kind}, digest binary, keys array<long>, sketches array<binary>, print binary")
+    return held.mapInArrow(run, f"row long, doc_id {kind}, digest binary, chars long, keys array<long>, sketches array<binary>, print binary")
 
 
 def candidates(reps: DataFrame, least: int = SKETCH // 4) -> DataFrame:
@@ -341,90 +380,106 @@ def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     return held.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def profiles(texts: pa.Array) -> np.ndarray:
+    """Counts of each text's 3-grams in BINS bins, 255 at most; an edit changes six places by one at most."""
+    points, lengths = code_points(texts)
+    out = np.zeros((len(lengths), BINS), dtype=np.uint8)
+    if len(points) < 3:
+        return out
+    x = points.astype(np.uint64)
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    h = (mix64((x[:-2] * odd + x[1:-1]) * odd + x[2:]) % np.uint64(BINS)).astype(np.int64)
+    text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)[: len(h)]
+    inside = np.arange(len(h), dtype=np.int64) + 3 <= np.cumsum(lengths)[text]
+    for at in range(0, len(lengths), 512):
+        own = inside & (text >= at) & (text < at + 512) if len(lengths) > 512 else inside
+        many = min(512, len(lengths) - at)
+        out[at : at + many] = np.minimum(np.bincount((text[own] - at) * BINS + h[own], minlength=many * BINS), 255).reshape(many, BINS)
+    return out
+
+
 def tasks(reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(task, key, side, row, root, b): what is left to compare in buckets that have several groups.
+    """(task, side, row, root, chars): the rows of buckets that have several groups, in order of length.
 
-    Buckets of BLOCK rows at most give their pairs as row and b. Larger ones give their rows, in a
-    task for each pair of blocks; side is null in a block's own task, and b in all of them.
+    A bucket of more than BLOCK rows gives a task for each two blocks whose lengths may be near; side
+    is null in a block's own task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in graph.by_region(batches, "key"):
-            key, row, root = (table.column(c).to_numpy() for c in ("key", "row", "root"))
+            key, row, root, chars = (table.column(c).to_numpy() for c in ("key", "row", "root", "chars"))
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(starts[1:], len(key))
-            mixed = root[starts] != root[ends - 1]  # sorted by root
-            pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            where, i, j, side = [], [], [], []
             for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-                if e - s <= BLOCK:
-                    one, two = np.triu_indices(e - s, 1)
-                    other = root[s + one] != root[s + two]
-                    pairs.append((row[s + one[other]], row[s + two[other]]))
-                    continue
                 blocks = [np.arange(x, min(x + BLOCK, e)) for x in range(s, e, BLOCK)]
-                for i, one in enumerate(blocks):
-                    for j, two in enumerate(blocks[i:], i):
-                        if root[one[0]] == root[two[-1]]:
-                            continue
-                        at = one if i == j else np.concatenate([one, two])
-                        side = np.repeat([0, 1], [len(one), len(at) - len(one)])
-                        n = len(at)
-                        yield pa.record_batch({"i": pa.array(np.full(n, i)), "j": pa.array(np.full(n, j)), "key": pa.array(key[at]), "side": pa.array(side, mask=np.full(n, i == j)), "row": pa.array(row[at]), "root": pa.array(root[at]), "b": pa.nulls(n, pa.int64())})
-            if pairs:
-                one, two = (np.concatenate(x) for x in zip(*pairs))
-                none = pa.nulls(len(one), pa.int64())
-                yield pa.record_batch({"i": none, "j": none, "key": none, "side": none, "row": pa.array(np.minimum(one, two)), "root": none, "b": pa.array(np.maximum(one, two))})
-
-    known = reps.select("row", "keys").join(roots.withColumnRenamed("node", "row"), "row", "left")
-    entries = known.select("row", F.coalesce("root", "row").alias("root"), F.explode("keys").alias("key"))
-    found = entries.repartition("key").sortWithinPartitions("key", "root", "row").mapInArrow(run, "i long, j long, key long, side long, row long, root long, b long")
-    return found.select(F.xxhash64("key", "i", "j").alias("task"), "key", "side", "row", "root", "b")
-
-
-def compared(held: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): near pairs of the tasks' rows, as many as join all that are near; a pair is compared in the least bucket that it shares."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for k, one in enumerate(blocks):
+                    for m, two in enumerate(blocks[k:], k):
+                        if chars[two[0]] - chars[one[-1]] > chars[two[0]] // PART:
+                            break  # later blocks hold longer texts
+                        at = one if k == m else np.concatenate([one, two])
+                        where.append(at)
+                        i.append(np.full(len(at), k))
+                        j.append(np.full(len(at), m))
+                        side.append(np.full(len(at), -1) if k == m else np.repeat([0, 1], [len(one), len(two)]))
+            if where:
+                at, i, j, side = (np.concatenate(x) for x in (where, i, j, side))
+                yield pa.record_batch({"key": pa.array(key[at]), "i": pa.array(i), "j": pa.array(j), "side": pa.array(side, mask=side < 0), "row": pa.array(row[at]), "root": pa.array(root[at]), "chars": pa.array(chars[at])})
+
+    known = reps.select("row", "keys", "chars").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    entries = known.select("row", F.coalesce("root", "row").alias("root"), "chars", F.explode("keys").alias("key"))
+    found = entries.repartition("key").sortWithinPartitions("key", "chars", "row").mapInArrow(run, "key long, i long, j long, side long, row long, root long, chars long")
+    return found.select(F.xxhash64("key", "i", "j").alias("task"), "side", "row", "root", "chars")
+
+
+def close(held: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of the tasks' rows of unlike groups that their lengths and profiles let be near; no near pair is left out."""
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            own = profiles(part.column("text"))
+            yield pa.record_batch({"digest": part.column("digest"), "profile": pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in graph.by_region(batches, "task"):
-            a, b = [], []
-            task = table.column("task").to_numpy()
+            task, row, root, chars = (table.column(c).to_numpy() for c in ("task", "row", "root", "chars"))
+            side = table.column("side").fill_null(-1).to_numpy()
+            own = np.frombuffer(b"".join(table.column("profile").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
             cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            a, b = [], []
             for s, e in zip(cuts, cuts[1:]):
-                own = table.slice(s, e - s)
-                key, side, row, root, text = (own.column(c).to_pylist() for c in ("key", "side", "row", "root", "text"))
-                buckets = [set(x) for x in own.column("keys").to_pylist()]
-                for i in range(e - s):
-                    for j in range(i + 1, e - s):
-                        if root[i] == root[j] or side[i] is not None and side[i] == side[j] or key[i] != min(buckets[i] & buckets[j], default=None):
-                            continue
-                        if near(text[i], text[j]):
-                            a.append(row[i])
-                            b.append(row[j])
-                            root = [root[i] if x == root[j] else x for x in root]
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    nodes = written(held.select("row").distinct().join(reps.select("row", "digest", "keys"), "row"))
-    texts = wanted(rows, nodes.select("digest")).groupBy("digest").agg(F.first("text").alias("text"))
-    named = nodes.join(texts, "digest").select("row", "keys", "text")
-    return held.join(named, "row").select("task", "key", "side", "row", "root", "keys", "text").repartition("task").sortWithinPartitions("task", "root", "row").mapInArrow(check, "a long, b long")
+                for k in range(s, e - 1):  # in order of length
+                    most = chars[k + 1 : e] // PART
+                    ask = np.flatnonzero((chars[k + 1 : e] - chars[k] <= most) & (root[k + 1 : e] != root[k]) & ((side[k + 1 : e] < 0) | (side[k + 1 : e] != side[k])))
+                    for at in range(0, len(ask), BLOCK):
+                        which = ask[at : at + BLOCK]
+                        other = own[k + 1 + which]
+                        apart_ = (np.maximum(other, own[k]) - np.minimum(other, own[k])).sum(axis=1, dtype=np.int64)
+                        hit = which[apart_ <= 6 * most[which]]
+                        a.append(np.minimum(row[k], row[k + 1 + hit]))
+                        b.append(np.maximum(row[k], row[k + 1 + hit]))
+            if a:
+                yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    nodes = written(held.select("row").distinct().join(reps.select("row", "digest"), "row"))
+    made = wanted(rows, nodes.select("digest")).groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(profile, "digest binary, profile binary")
+    known = nodes.join(made, "digest").select("row", "profile")
+    return held.join(known, "row").select("task", "side", "row", "root", "chars", "profile").repartition("task").sortWithinPartitions("task", "chars", "row").mapInArrow(compare, "a long, b long").distinct()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, group_id) of each document; group_id is null where no other is near."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(sign(rows))
-    folded = signed.groupBy("digest").agg(F.min("row").alias("row"), F.first("keys").alias("keys"), F.first("sketches").alias("sketches"))
+    folded = signed.groupBy("digest").agg(F.min("row").alias("row"), F.first("chars").alias("chars"), F.first("keys").alias("keys"), F.first("sketches").alias("sketches"))
     reps = written(folded)
     pairs = written(candidates(reps))
     edges = written(verified(pairs, reps, rows))
     roots = graph.components(edges)
     held = written(tasks(reps, roots))
-    left = held.where("b IS NOT NULL").select(F.col("row").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verified(written(left), reps, rows)
-    hot = held.where("b IS NULL").drop("b")
-    if not hot.isEmpty():
-        more = more.unionByName(compared(hot, reps, rows))
-    more = written(more)
+    left = written(close(held, reps, rows).join(pairs, ["a", "b"], "left_anti"))
+    more = written(verified(left, reps, rows))
     if not more.isEmpty():
         roots = graph.components(edges.unionByName(more))
     placed = reps.select("digest", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("root", "row").alias("root"))

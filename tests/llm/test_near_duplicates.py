@@ -148,11 +148,11 @@ def test_fingerprint_recall_and_precision(spark):
     for _ in range(40):
         base = " ".join(words(r, r.randrange(20, 150)))
         rows.append(base)
-        rows += [edited(r, base, r.randrange(1, 1 + min(fingerprints.EDITS, len(base) // fingerprints.PART))) for _ in range(r.randrange(3))]
+        rows += [edited(r, base, r.randrange(1, 1 + len(base) // fingerprints.PART)) for _ in range(r.randrange(3))]
     rows += [" ".join(words(r, 60)) for _ in range(20)]
     rows = list(enumerate(rows))
     got = {x.doc_id: x.group_id for x in fingerprints.fingerprints(table(spark, rows)).collect()}
-    pairs = [(a, b) for a, x in rows for b, y in rows if a < b and abs(len(x) - len(y)) <= fingerprints.EDITS and fingerprints.near(x, y)]
+    pairs = [(a, b) for a, x in rows for b, y in rows if a < b and fingerprints.near(x, y)]
     hits = sum(got[a] is not None and got[a] == got[b] for a, b in pairs)
     assert pairs and hits / len(pairs) >= 0.9
     want = groups(pairs)
@@ -183,13 +183,19 @@ def test_long_texts_are_near_by_their_length(spark):
     assert all(got[k] in (None, k - k % 2) for k in got)
 
 
-def test_edit_distance_beyond_the_diagonals():
+def test_bounds_and_bands_of_the_edit_distance():
     r = random.Random(5)
-    for k in range(200):
-        a = "".join(r.choice("abc") for _ in range(r.randrange(1, 90)))
-        b = edited(r, a, r.randrange(60)) if k % 2 else "".join(r.choice("abcd") for _ in range(r.randrange(90)))
-        most = r.randrange(80)
-        assert fingerprints.distance(a, b, most) == min(naive(a, b), most + 1)
+    for k in range(400):
+        size = 700 if k % 40 == 0 else 90
+        a = "".join(r.choice("abc" if k % 3 else "abcdefghijkl ") for _ in range(r.randrange(1, size)))
+        b = edited(r, a, r.randrange(60)) if k % 2 else "".join(r.choice("abcd") for _ in range(r.randrange(size)))
+        most, true = r.randrange(80), naive(a, b)
+        assert fingerprints.distance(a, b, most) == min(true, most + 1)
+        assert fingerprints.apart(a, b) <= true
+        assert fingerprints.resumed(*sorted((a, b), key=len), most) >= min(true, most + 1)
+        x, y = fingerprints.profiles(pa.array([a, b])).astype(int)
+        assert abs(x - y).sum() <= 6 * true
+        assert fingerprints.near(a, b) == (true <= max(len(a), len(b)) // fingerprints.PART)
 
 
 def test_all_pairs_of_a_templated_bucket_are_verified(spark):
