@@ -8,8 +8,11 @@ good only beside a near-good one on its bad side. Near-good blocks are good unle
 neighbours are bad; the edges of the document count as bad.
 
 Defined results: null html gives null text and no blocks; empty html or html without a good block
-gives an empty text; unclosed or crossed tags end where their block does; script, style, head
-parts, comments and templates hold no text; links inside links count once.
+gives an empty text; unclosed or crossed tags end where their block does; script, style, title,
+form lists, comments and templates hold no text (``markup`` says how far they go); links inside links
+count once. Pages may be of any length, with time in proportion. At equal distance both neighbours
+count, as above. Null and repeated ids and repeated pages are rows like any other; other columns,
+whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
+from .markup import tokens
 
 MAX_LINK_DENSITY = 0.2
 LENGTH_LOW, LENGTH_HIGH = 70, 200
@@ -36,19 +40,15 @@ STOP_WORDS = frozenset(
     "al como con de del el ella en entre es esta este fue ha han la las le lo los más me mi no o para pero por que se si sin sobre su sus también un una y ya".split()
 )
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|title|textarea|select|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def blocks(source: str) -> list[tuple[str, str, int]]:
     """(tag, text, characters inside links) of each block in order; blocks without text are left out."""
-    source = _DROP.sub(" ", source)
     found: list[tuple[str, str, int]] = []
     parts: list[str] = []
     tag, linked, link = "body", 0, 0
-    at = 0
 
     def end() -> None:
         nonlocal parts, linked
@@ -64,18 +64,17 @@ def blocks(source: str) -> list[tuple[str, str, int]]:
         if link:
             linked += len(_SPACE.sub(" ", piece).strip())
 
-    for m in _TAG.finditer(source):
-        if m.start() > at:
-            add(source[at : m.start()])
-        at = m.end()
-        name = m[2].lower()
+    for text, name, closing, _ in tokens(source):
+        if text:
+            add(text)
         if name in BLOCKS:
             end()
             if name != "br":
-                tag = "body" if m[1] else name
+                tag = "body" if closing else name
         elif name == "a":
-            link = 0 if m[1] else 1
-    add(source[at:])
+            link = 0 if closing else 1
+        elif not name:
+            parts.append(" ")
     end()
     return found
 
