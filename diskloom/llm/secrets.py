@@ -5,17 +5,21 @@ as key, token, secret or password and an assignment, after an authorization word
 issuer's prefix; or a PEM private key, with its frame and, where its end is missing, as far as it goes. Its novelty is what it adds to the compressed size of its surroundings: the
 window around it is compressed with and without the candidate by zstandard, primed with a
 dictionary of common identifiers and code, and the difference in bytes is divided by the
-candidate's length; of a PEM block its inside counts. A long candidate whose whole is not novel
-enough counts by its first ``HEAD`` characters, so what follows a secret doesn't hide it. Identifiers, placeholders, paths and words that repeat nearby compress to
-little; random strings don't.
+candidate's length; of a PEM block its inside counts. It is compared with ``NOVELTY``, in proportion
+to the bits that a character of a decimal or hexadecimal value can hold at most. A long candidate
+whose whole is not novel enough counts by its first ``HEAD`` characters, so what follows a secret
+doesn't hide it. Identifiers, placeholders, paths and words that repeat nearby compress to little;
+random strings don't.
 
 The candidate's other occurrences are taken out of its surroundings first, so that a secret
 pasted twice hides neither copy. An unquoted candidate must hold a digit.
 
 Defined results: null and empty texts have no findings; overlapping candidates are cut from left
 to right; the same secret at two places gives two findings; positions count characters from 0
-over the whole text. Redaction puts ``[secret]`` in place of a finding's value and leaves texts
-without findings untouched.
+over the whole text, of any length, with time in proportion; null and repeated ids and repeated rows
+are judged like any other row; an empty table gives an empty result. Redaction puts ``[secret]`` in
+place of a finding's value and leaves texts without findings and all other columns untouched, whatever
+their names, but for the text's length, which follows it (null stays null).
 """
 
 from __future__ import annotations
@@ -38,17 +42,21 @@ HEAD = 512
 MASK = "[secret]"
 
 NAMES = r"(?:api|access|auth|client|private|secret|session|signing|encryption|master|account|db|database|aws|user|root|admin)?[ _.-]?(?:key|token|secret|passw(?:or)?d|pwd|passphrase|credential|bearer|signature)s?(?:[ _.-]?(?:id|key|value|hash))?"
-VALUE = r"[A-Za-z0-9+/_=.~$!@%^&*-]{12,}"
+_RUN = r"[A-Za-z0-9_-]"
+#: A token of three parts, its start being looked for once in each run of its characters.
+JWT = rf"(?<!{_RUN})(?={_RUN}++\.{_RUN}{{8,}}+\.{_RUN}{{8}}){_RUN}*?\b(?P<jwt>eyJ{_RUN}{{8,}}+\.{_RUN}{{8,}}+\.{_RUN}{{8,}})"
 FRAME = r"-----{} (?:[A-Z0-9]+ ){{0,3}}PRIVATE KEY(?: BLOCK)?-----"
 CANDIDATE = re.compile(
     rf"(?i:\b{NAMES}[\"']?\s{{0,4}}(?:[:=]{{1,3}}>?|\bis\b)\s{{0,4}})(?:([\"'`])(?P<quoted>[^\"'`\s]{{12,}})\1|(?P<bare>[A-Za-z0-9+/_=.~-]{{12,}}))"
     rf"|(?i:\b(?:bearer|basic)\s{{1,3}})(?P<auth>[A-Za-z0-9+/_=.~-]{{12,}})"
-    rf"|(?P<issued>\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{30,}}\b|\bxox[abprs]-[A-Za-z0-9-]{{10,}}|\bsk_(?:live|test)_[A-Za-z0-9]{{16,}}\b|\bAIza[A-Za-z0-9_-]{{35}}\b|\beyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}})"
+    rf"|(?P<issued>\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{30,}}\b|\bxox[abprs]-[A-Za-z0-9-]{{10,}}|\bsk_(?:live|test)_[A-Za-z0-9]{{16,}}\b|\bAIza[A-Za-z0-9_-]{{35}}\b)|{JWT}"
     rf"|(?P<pem>{FRAME.format('BEGIN')}(?P<inside>(?:(?!-----)[\s\S])*+){FRAME.format('END')}|{FRAME.format('BEGIN')}(?P<cut>[A-Za-z0-9+/=\s\\]*+))"
 )
 #: RE2 test, over a batch at once, that no text with a candidate fails.
-HINT = r"(?i:key|token|secret|passw|pwd|passphrase|credential|bearer|signature|basic\s)|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_|AIza|eyJ"
+HINT = r"(?i:key|token|secret|passw|pwd|passphrase|credential|bearer|signature|basic)|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_|AIza|eyJ"
 _DIGIT = re.compile(r"[0-9]")
+#: Bits of a character by the form of a value; any other has 6.
+_FORMS = ((re.compile(r"[0-9.:_-]+"), 3.33), (re.compile(r"[0-9a-f.:_-]+|[0-9A-F.:_-]+"), 4.0))
 
 _WORDS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 00000000 11111111 xxxxxxxxxxxxxxxx XXXXXXXX ******** aaaaaaaa "
@@ -81,6 +89,11 @@ def novelty(text: str, start: int, end: int) -> float:
     return (size_of(before + after + value) - size_of(before + after)) / max(1, len(value))
 
 
+def needed(value: str, threshold: float = NOVELTY) -> float:
+    """The novelty that a value of this form needs."""
+    return threshold * next((bits for form, bits in _FORMS if form.fullmatch(value)), 6.0) / 6
+
+
 def findings(text: str | None, threshold: float = NOVELTY) -> list[tuple[int, int, float]]:
     """(start, end, novelty) of each reported value in order."""
     out = []
@@ -93,9 +106,11 @@ def findings(text: str | None, threshold: float = NOVELTY) -> list[tuple[int, in
         if inner[1] - inner[0] < 12:
             continue
         score = novelty(text, *inner)
-        if score < threshold and inner[1] - inner[0] > HEAD:
-            score = max(score, novelty(text, inner[0], inner[0] + HEAD))
-        if score >= threshold:
+        ok = score >= needed(text[slice(*inner)], threshold)
+        if not ok and inner[1] - inner[0] > HEAD:
+            head = novelty(text, inner[0], inner[0] + HEAD)
+            score, ok = max(score, head), head >= needed(text[inner[0] : inner[0] + HEAD], threshold)
+        if ok:
             out.append((start, end, score))
     return out
 
