@@ -53,6 +53,31 @@ def test_language_id_distance_by_hand():
     assert lang.tolist() == [0, -1] and worst.tolist() == [6 * 300, 0] and ok.tolist() == [True, False] and distance[0] < worst[0]
 
 
+def test_language_id_rejects_what_has_no_profile(spark):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (150, 600, 5000, 40000)]
+    polish = "wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw sa oni obdarzeni rozumem i sumieniem i powinni postepowac wobec innych w duchu braterstwa kazdy czlowiek posiada wszystkie prawa i wolnosci zawarte w niniejszej deklaracji bez wzgledu na roznice rasy koloru plci jezyka wyznania pogladow politycznych i innych przekonan"
+    italian = "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ahi quanto a dir qual era e cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura tant e amara che poco e piu morte ma per trattar del ben chi vi trovai diro de l altre cose chi v ho scorte io non so ben ridir com i v intrai"
+    english = "all human beings are born free and equal in dignity and rights they are endowed with reason and conscience and should act towards one another in a spirit of brotherhood everyone is entitled to all the rights and freedoms set forth in this declaration"
+    odd = [*noise, polish, italian, "x" * 30000, "これは日本語の文章です。" * 20]
+    rows = [(10**9 + k, t, None, "s", len(t)) for k, t in enumerate([*odd, english])]
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True).select(docs.columns)
+    kept = {x.doc_id for x in corpus_pipeline.identify(spark, both, SF).select("doc_id").collect()}
+    assert not kept & {10**9 + k for k in range(len(odd))} and 10**9 + len(odd) in kept
+    assert kept >= {x.doc_id for x in docs.where("text rlike '[a-zA-Z]'").select("doc_id").collect()}  # clean documents stay
+
+
+def test_language_id_ties_go_to_the_first_language():
+    p = language_id.Profiles([("b", "a", 1), ("a", "a", 1), ("c", "z", 1)])
+    lang, distance, _, _ = p.decide(pa.array(["aa", "zz", "qq"]))
+    assert [p.langs[k] for k in lang] == ["a", "c", "a"] and distance[0] < distance[2]
+
+
 PAGE = "<html><head><title>T</title></head><body><nav><a href=/a>Home</a> <a href=/b>More links here</a></nav><h1>A heading</h1><p>" + EN + "</p><p>Short.</p><p>" + EN + "</p><footer>© 2020</footer><script>bad()</script></body>"
 
 
