@@ -4,15 +4,19 @@ A pack has three limits at once: tokens, segments (turns) and loss-bearing token
 filled one at a time: of the examples that still fit, the one whose demands have the largest
 weighted dot product with what the pack has left goes in next (Panigrahy et al., 2011); the
 weights are the mean demands. Equal products go to the longer example, then the more segments,
-the more loss tokens, and the earlier row.
+the more loss tokens, and the lower hash.
 
-Examples are spread by a hash over groups of about ``GROUP`` rows, as many as their number asks
-for, and each group is packed on its own, so no task grows with the data and each group leaves
-one pack part-filled at most.
+Examples are spread by a hash of their id and demands over groups of about ``GROUP`` rows, as many as
+their number asks for, and each group is packed on its own, so no task grows with the data and each
+group leaves one pack part-filled at most. Equal examples are counted first and spread in shares of
+``SHARE``, so neither the order of the rows nor their partitions change a pack, and a hot key makes no
+hot group.
 
 Defined results: an example over a limit by itself has a pack of its own, marked ``oversize``;
-null or empty text has no tokens but is a segment; a null role bears no loss; turns without a
-conversation id are examples of their own; repeated turns count again; an empty table gives none.
+null or empty text has no tokens but is a segment; very long texts are counted whole; a null role
+bears no loss; turns without a conversation id are examples of their own; repeated turns count again;
+null and repeated document ids are examples like any other; other columns, whatever their names, are
+not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from .common import chunks, written
 
 #: Tokens, segments and loss-bearing tokens of a pack.
 LIMITS = (8192, 64, 6144)
-GROUP = 16_384
+GROUP, SHARE = 16_384, 1_024
 #: Byte-level BPE ranks that count tokens, and the pattern that cuts texts for it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -109,19 +113,24 @@ def fill(demands: np.ndarray, limits: tuple[int, int, int] = LIMITS) -> tuple[np
 
 def pack(examples: DataFrame, id_col: str, limits: tuple[int, int, int] = LIMITS) -> DataFrame:
     """(id, pack_id, slot, tokens, segments, loss_tokens, oversize) for each row of (id, tokens, segments, loss_tokens)."""
-    held = written(examples.select(F.monotonically_increasing_id().alias("row"), id_col, *(F.coalesce(F.col(k).cast("long"), F.lit(0)).alias(k) for k in ("tokens", "segments", "loss_tokens"))))
-    groups = max(1, -(-held.count() // GROUP))
+    demand = ("tokens", "segments", "loss_tokens")
+    own = examples.select(F.col(id_col).alias("id"), *(F.coalesce(F.col(k).cast("long"), F.lit(0)).alias(k) for k in demand))
+    held = written(own.groupBy("id", *demand).agg(F.count("*").alias("n")))
+    groups = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // GROUP))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
-        demands = np.column_stack([table.column(k).to_numpy() for k in ("tokens", "segments", "loss_tokens")])
+        table = table.sort_by([("h", "ascending"), ("name", "ascending"), ("share", "ascending")])
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column("n").to_numpy())))
+        demands = np.column_stack([table.column(k).to_numpy() for k in demand])
         number, slot, over = fill(demands, limits)
         packs = (table.column("group").to_numpy().astype(np.int64) << 32) | number
-        return pa.table([table.column(id_col), pa.array(packs), pa.array(slot), *(table.column(k) for k in ("tokens", "segments", "loss_tokens")), pa.array(over)], names=[id_col, "pack_id", "slot", "tokens", "segments", "loss_tokens", "oversize"])
+        return pa.table([table.column("id"), pa.array(packs), pa.array(slot), *(table.column(k) for k in demand), pa.array(over)], names=["id", "pack_id", "slot", *demand, "oversize"])
 
-    kind = held.schema[id_col].dataType.simpleString()
-    spread = held.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
-    return spread.groupBy("group").applyInArrow(run, f"`{id_col}` {kind}, pack_id long, slot int, tokens long, segments long, loss_tokens long, oversize boolean")
+    kind = held.schema["id"].dataType.simpleString()
+    shares = held.select("id", *demand, F.expr(f"explode(transform(sequence(0, (n - 1) div {SHARE}), s -> struct(s as share, least({SHARE}, n - s * {SHARE}) as n)))").alias("s"))
+    spread = shares.select("id", *demand, "s.share", "s.n", F.xxhash64("id", *demand, "s.share").alias("h"), F.col("id").cast("string").alias("name"))
+    placed = spread.withColumn("group", F.pmod(F.xxhash64("h"), F.lit(groups)).cast("int"))
+    return placed.groupBy("group").applyInArrow(run, f"id {kind}, pack_id long, slot int, tokens long, segments long, loss_tokens long, oversize boolean").withColumnRenamed("id", id_col)
 
 
 def pack_conversations(turns: DataFrame, limits: tuple[int, int, int] = LIMITS, path: str = VOCABULARY) -> DataFrame:

@@ -192,6 +192,33 @@ def test_packing_conversations(spark):
         assert sum(r.tokens for r in own) <= 200 and len(own) <= 4 and sorted(r.slot for r in own) == list(range(len(own)))
 
 
+def test_packs_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 120)
+    monkeypatch.setattr(packing, "SHARE", 16)
+    r = random.Random(6)
+    rows = [(None if k % 3 == 0 else k % 200, 7 if k % 3 == 0 else r.randrange(1, 60), 1 + k % 2, 3) for k in range(360)]
+    examples = spark.createDataFrame(rows, "k long, tokens long, segments long, loss_tokens long")
+    mixed = list(rows)
+    r.shuffle(mixed)
+    found = [sorted(map(str, packing.pack(df, "k", (200, 8, 200)).collect())) for df in (examples, examples.repartition(5), spark.createDataFrame(mixed, examples.schema).coalesce(1))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 360
+    packs = {}
+    for x in packing.pack(examples, "k", (200, 8, 200)).collect():
+        packs.setdefault(x.pack_id, []).append(x)
+    assert len({p >> 32 for p in packs}) == 3  # several groups
+    groups = {}
+    for p, own in packs.items():
+        assert sum(x.tokens for x in own) <= 200 and sum(x.segments for x in own) <= 8 and sorted(x.slot for x in own) == list(range(len(own)))
+        groups.setdefault(p >> 32, []).extend(own)
+    assert all(80 < len(own) < 170 for own in groups.values())  # a third of the rows are alike, and are spread
+    for own in groups.values():  # each group is filled as the written-out heuristic fills it, but for who of equal demands goes where
+        demands = [(x.tokens, x.segments, x.loss_tokens) for x in own]
+        number, _ = plain_fill(demands, (200, 8, 200))
+        want = sorted(sorted(d for d, m in zip(demands, number) if m == k) for k in set(number))
+        got = sorted(sorted((x.tokens, x.segments, x.loss_tokens) for x in own if x.pack_id == p) for p in {x.pack_id for x in own})
+        assert got == want
+
+
 def test_sharding(spark):
     keys = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("shard"))
     rows = sharding.assign(keys).collect()
