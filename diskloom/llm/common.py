@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,35 +18,62 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_CHARS = 2_000_000
 
 
+#: Tables made by written() and not removed yet: path, and the JVM that can remove it.
+_tables: dict[str, tuple] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="diskloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = "file://" + own
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir("file://" + own)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    It stays until forget() or the end of the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.unregister(forget_all)
+        atexit.register(forget_all)  # last registered, so first called: the JVM is still there
+    _tables[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_path = path
     return back
 
 
-def forget(df: DataFrame) -> None:
-    """Remove the files of a table made by written() once nothing reads them."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def _remove(path: str) -> None:
+    jvm, conf = _tables.pop(path)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of tables made by written() once nothing reads them."""
+    for df in tables:
+        path = getattr(df, "_written_path", None)
+        if path in _tables:
+            _remove(path)
+
+
+def forget_all() -> None:
+    """Remove every table that written() has made: of use between jobs of a long session, once their results are stored."""
+    for path in list(_tables):
+        try:
+            _remove(path)
+        except Exception as why:  # the JVM may be gone at the end; its folder is then the cluster's to clear
+            print(f"not removed: {path} ({type(why).__name__})", file=sys.stderr)
+            return
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:

@@ -8,13 +8,16 @@ compared all to all; longer ones are cut at deeper prefixes until they fit, each
 by a spanning tree, and neighbours across leaves are compared. A pair counts if its signatures
 agree as often as a Jaccard similarity of ``THRESHOLD`` does; groups are the connected components.
 
-The orders are range-partitioned on the whole sort key, so a dense region spreads over tasks.
+The orders are range-partitioned on the whole sort key, so a dense region spreads over tasks; where a
+region goes on in the next task, the rows on both sides of the cut are compared in a second step.
 Documents with the same text are folded into one before that, with map-side aggregation.
 
 Defined results: null and blank texts are in no group; texts without words are grouped with their
-exact copies only; texts of fewer than three words are one gram; the kept document of a group has
-the lowest id, null ids last, then the earlier row; repeated rows are copies like any other;
-an empty table gives an empty result. Row numbers are made here and are not taken from a column.
+exact copies only; texts of fewer than three words are one gram; very long texts are read whole; the
+kept document of a group has the lowest id, null ids last, then the earlier row; repeated rows are
+copies like any other; equal agreement goes to the lower row, which changes no group; other columns,
+whatever their names, pass through untouched; an empty table gives an empty result. Row numbers are
+made here and are not taken from a column.
 """
 
 from __future__ import annotations
@@ -107,28 +110,62 @@ def sign(docs: DataFrame) -> DataFrame:
 def forest_edges(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) row pairs of near duplicates among (row, region, rest, sketch)."""
     least = least_agreement(threshold)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    half = graph.BLOCK // 2
+
+    def linked(table: pa.Table) -> pa.RecordBatch | None:
+        region = table.column("region").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+        size = np.diff(np.append(starts, len(region)))
+        several = np.repeat(size > 1, size)  # rows alone in their region have no candidates
+        if not several.any():
+            return None
+        table = table.filter(pa.array(several))
+        size = size[size > 1]
+        rest = table.column("rest").to_numpy().view(np.uint64)
+        keys = [(rest >> np.uint64(12 * k) & np.uint64(4095)) for k in range(DEPTH - FLOOR - 1, -1, -1)]
+        raw = table.column("sketch").combine_chunks()
+        sketches = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8).reshape(len(raw), HASHES)
+        nodes = table.column("row").to_numpy()
+        a, b = graph.link(keys, sketches, nodes, np.cumsum(size) - size, least)
+        return pa.record_batch({"a": pa.array(np.minimum(nodes[a], nodes[b])), "b": pa.array(np.maximum(nodes[a], nodes[b]))})
+
+    def ends(table: pa.Table, last: bool) -> pa.Table:
+        """The rows of the table's last or first region that are next to the partition's end."""
+        own = table.column("region").to_numpy()
+        if last:
+            first = int(np.flatnonzero(own == own[-1])[0])
+            return table.slice(max(first, len(own) - half))
+        return table.slice(0, min(half, int(np.count_nonzero(own == own[0]))))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        names = ["a", "b", "region", "rest", "row", "sketch"]
+
+        def side(rows: pa.Table) -> pa.RecordBatch:
+            none = pa.nulls(rows.num_rows, pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, *(rows.column(c).combine_chunks() for c in names[2:])], names=names)
+
+        for now in graph.by_region(batches, "region"):
+            if table is None:
+                yield side(ends(now, False))
+            table = now
+            if (found := linked(now)) is not None:
+                none = pa.nulls(found.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*found.columns, none, none, none, pa.nulls(found.num_rows, pa.binary())], names=names)
+        if table is not None:
+            yield side(ends(table, True))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in graph.by_region(batches, "region"):
-            region = table.column("region").to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
-            size = np.diff(np.append(starts, len(region)))
-            several = np.repeat(size > 1, size)  # rows alone in their region have no candidates
-            if not several.any():
-                continue
-            table = table.filter(pa.array(several))
-            size = size[size > 1]
-            rest = table.column("rest").to_numpy().view(np.uint64)
-            keys = [(rest >> np.uint64(12 * k) & np.uint64(4095)) for k in range(DEPTH - FLOOR - 1, -1, -1)]
-            raw = table.column("sketch").combine_chunks()
-            sketches = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8).reshape(len(raw), HASHES)
-            nodes = table.column("row").to_numpy()
-            a, b = graph.link(keys, sketches, nodes, np.cumsum(size) - size, least)
-            yield pa.record_batch({"a": pa.array(np.minimum(nodes[a], nodes[b])), "b": pa.array(np.maximum(nodes[a], nodes[b]))})
+            if (found := linked(table)) is not None:
+                yield found
 
     entries = reps.select("row", "sketch", F.posexplode(F.arrays_zip("region", "rest")).alias("tree", "k")).select(F.xxhash64("k.region", "tree").alias("region"), F.col("k.rest").alias("rest"), "row", "sketch")
     ordered = entries.repartitionByRange("region", "rest", "row").sortWithinPartitions("region", "rest", "row")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    found = written(ordered.mapInArrow(within, "a long, b long, region long, rest long, row long, sketch binary"))
+    cut = found.where("region IS NOT NULL").select("region", "rest", "row", "sketch").distinct()  # BLOCK rows a partition at most
+    beside = cut.repartition("region").sortWithinPartitions("region", "rest", "row").mapInArrow(across, "a long, b long")
+    return found.where("a IS NOT NULL").select("a", "b").unionByName(beside).distinct()
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

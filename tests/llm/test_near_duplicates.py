@@ -66,6 +66,30 @@ def test_minhash_recall_and_precision(spark):
     assert all(b < a for a, b in got.items())
 
 
+def test_a_region_cut_between_partitions_is_one(spark):
+    """With one order and a region over many partitions, links cross every cut."""
+    import numpy as np
+
+    n = 400
+    sketch = bytes(range(128))
+    reps = spark.createDataFrame([(k, [1], [k], bytearray(sketch)) for k in range(n)], "row long, region array<long>, rest array<long>, sketch binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            pairs = [(r.a, r.b) for r in minhash.forest_edges(reps).collect()]
+            assert len(set(groups(pairs).values())) == 1 and len(groups(pairs)) == n
+            # two halves that differ stay apart, wherever the cuts are
+            other = np.frombuffer(sketch, np.uint8)[::-1].tobytes()
+            two = spark.createDataFrame([(k, [1], [k], bytearray(sketch if k < n // 2 else other)) for k in range(n)], reps.schema)
+            found = groups([(r.a, r.b) for r in minhash.forest_edges(two).collect()])
+            assert len(set(found.values())) == 2 and len(found) == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
 def test_minhash_edges(spark):
     long = " ".join(words(random.Random(1), 40000))
     rows = [(5, "a b c d e f g"), (3, "A b, c d e F g!"), (None, "a b c d e f g"), (9, None), (10, None), (11, ""), (12, "  "), (13, "###"), (14, "###"), (14, "###"), (15, long), (16, long + " z"), (17, "x"), (18, "x y")]
