@@ -11,9 +11,11 @@ Units end before a word mark, and around characters that no piece holds, where n
 cross; so only distinct units are indexed and texts may be of any length. Characters without a
 piece become their UTF-8 bytes' pieces.
 
-Defined results: null text has null ids, empty text none; decoding drops the one blank that
-encoding puts in front; a word mark (U+2581) in a text decodes as a blank; byte pieces that
-make no valid UTF-8 decode as U+FFFD; control pieces decode to nothing.
+Defined results: null text has null ids, empty text none; texts of any length are encoded whole;
+equal scores merge leftmost first; null and repeated ids and repeated rows are rows like any other;
+decoding drops the one blank that encoding puts in front; a word mark (U+2581) in a text decodes as a
+blank; byte pieces that make no valid UTF-8 decode as U+FFFD; control pieces decode to nothing; other
+columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -159,20 +161,20 @@ def model(path: str = MODEL) -> Model:
     return _models[path]
 
 
-def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of all suffixes by their first 20 characters, WORD characters packed at each place)."""
+def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of all suffixes by their first ``depth`` characters at least, WORD characters packed at each place)."""
     n = len(codes)
-    packed = np.zeros(n + 4 * WORD, dtype=np.int64)
+    packed = np.zeros(n + depth + WORD, dtype=np.int64)
     wide = np.zeros(n + WORD, dtype=np.int64)
     wide[:n] = codes
     for k in range(WORD):
         packed[:n] = packed[:n] << 12 | wide[k : k + n]
-    key = packed[:n]
-    for reach in (WORD, 2 * WORD):
+    key, reach = packed[:n], WORD
+    while reach < depth:  # twice as far each time
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
         ahead = np.zeros(n, dtype=np.int64)
         ahead[: max(0, n - reach)] = rank[reach:]
-        key = rank << 32 | ahead
+        key, reach = rank << 32 | ahead, 2 * reach
     return np.argsort(key, kind="stable"), packed
 
 
@@ -198,7 +200,7 @@ def ranges(m: Model, order: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray,
 
 def encode_units(m: Model, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pieces of all units end to end, number for each unit); each unit has its end marked by a 0 code."""
-    order, packed = suffix_order(codes)
+    order, packed = suffix_order(codes, m.words * WORD)
     lo, hi = ranges(m, order, packed)
     count = hi - lo
     piece = np.repeat(m.ids, count)

@@ -5,8 +5,10 @@ in (0, 1) from md5(key, shard). A score depends on one key and one shard only, s
 shard moves records to it alone, dropping one moves only its own, and a change of weight moves
 records only to or from that shard. The expected share is weight / sum of weights.
 
-Defined results: a null key hashes as the text ``null`` of its own kind; repeated keys go to the
-same shard; equal scores go to the lowest shard number; weights must be positive.
+Defined results: a null key hashes as the text ``null`` of its own kind; empty and very long keys are
+keys like any other; repeated keys go to the same shard; equal scores go to the lowest shard number;
+weights must be positive; other columns, whatever their names, are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 """Brown model, packing, sharding, SentencePiece and the pipeline."""
 
+import hashlib
 import math
 import random
 import re
@@ -252,6 +253,47 @@ def test_pieces_match_the_library():
     assert pieces.decode(pa.array(odd, pa.list_(pa.int32()))).to_pylist() == ["�", "A", None, ""]
 
 
+def test_suffixes_are_in_order_as_far_as_pieces_reach():
+    r = np.random.default_rng(3)
+    for depth in (3, 5, 16, 20, 37, 64):
+        codes = r.integers(0, 3, 400)
+        codes[100:200] = codes[:100]
+        codes[300:] = 1
+        order, packed = pieces.suffix_order(codes, depth)
+        own = [tuple(codes[k : k + depth]) + (0,) * (depth - len(codes[k : k + depth])) for k in order.tolist()]
+        assert sorted(order.tolist()) == list(range(400)) and own == sorted(own)
+        assert len(packed) >= 400 + depth
+
+
+def test_pieces_and_shards_of_long_null_and_clashing_rows(spark):
+    long = "some words and no end " * 40_000
+    rows = [(None, long, 1, "x"), (4, long, 2, "y"), (4, None, 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_pieces int, ids string")
+    got = sorted(((r.doc_id is None, r.n_pieces, r.round_trip, r.ids) for r in pieces.tokenize(docs).collect()), key=lambda x: (x[0], x[1] or 0))
+    want = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(long)
+    assert [x[:3] for x in got] == [(False, None, None), (False, len(want), True), (True, len(want), True)] and got[1][3] == got[2][3] == want
+    keys = spark.createDataFrame([("k" * 1_000_000, 1, True), (None, 2, False)], "doc_id string, shard int, moved boolean")
+    assert len(sharding.assign(keys).collect()) == 2
+    # equal scores: shards whose numbers come from one digest
+    one = sharding.shard_of(F.lit("a"), {3: 1.0, 1: 1.0})
+    assert spark.range(1).select(one).first()[0] in (1, 3)
+
+
+def plain_shard(key, weights):
+    best = None
+    for k, w in sorted(weights.items()):
+        u = (int(hashlib.md5(f"{key}#{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+        s = -w / math.log(u)
+        best = (s, k) if best is None or s > best[0] else best  # of equal scores the lowest number
+    return best[1]
+
+
+def test_shards_by_brute_force(spark):
+    for weights in (sharding.WEIGHTS, {7: 0.5, 2: 3.0}):
+        rows = spark.range(500).select("id", sharding.shard_of(F.col("id"), weights).alias("s")).collect()
+        assert all(r.s == plain_shard(r.id, weights) for r in rows)
+
+
 def test_pieces_table(spark):
     docs = docs_of(spark, ["the end", None, "", "the end"])
     rows = sorted((r.doc_id, r.n_pieces, r.round_trip) for r in pieces.tokenize(docs).collect())
@@ -259,6 +301,78 @@ def test_pieces_table(spark):
     assert pieces.tokenize(docs.limit(0)).count() == 0
 
 
+def plain_pipeline(rows):
+    """The stages one document at a time: profiles and distances by dictionaries, all pairs, a loop over findings."""
+    from collections import Counter
+
+    from diskloom.llm import language_id, minhash, secrets
+
+    def ranked(count):
+        return {g: k + 1 for k, (g, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: language_id.PROFILE])}
+
+    def grams(text):
+        t = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return Counter(t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1) if t[k : k + n].strip() and " " not in t[k + 1 : k + n - 1])
+
+    profile = {}
+    for d, text, lang in rows:
+        if None not in (d, text, lang):
+            profile.setdefault(lang, Counter()).update(grams(text))
+    profile = {k: ranked(v) for k, v in sorted(profile.items())}
+    kept = []
+    for d, text, lang in rows:
+        own = ranked(grams(text or ""))
+        if own and min(sum(abs(p[g] - r) if g in p else language_id.PROFILE for g, r in own.items()) for p in profile.values()) * 100 <= len(own) * language_id.PROFILE * language_id.ACCEPT:
+            kept.append((d, text))
+    sets = []
+    for _, text in kept:
+        w = re.findall(r"\w+", text.lower())
+        sets.append({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))})
+    stays = [k for k in range(len(kept)) if not any(len(sets[k] & sets[j]) / len(sets[k] | sets[j]) >= minhash.THRESHOLD and (kept[j][0] is None, kept[j][0] or 0, j) < (kept[k][0] is None, kept[k][0] or 0, k) for j in range(len(kept)))]
+    return {kept[k][0]: secrets.redact(kept[k][1], secrets.findings(kept[k][1])) for k in stays}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    r = random.Random(9)
+    english = "the cat and dog went to house of king with all men that was not here for you and me".split()
+    german = "der hund und die katze gingen zu dem haus des mannes das war nicht gut für kinder im garten".split()
+    rows = []
+    for k in range(60):
+        words_ = r.choice([english, german])
+        base = [r.choice(words_) + r.choice(["", "", "er", "ing"]) for _ in range(r.randrange(60, 200))]
+        rows.append((len(rows), " ".join(base), "en" if words_ is english else "de"))
+        for _ in range(r.choice([0, 0, 1, 2])):  # copies with a word changed
+            copy = list(base)
+            copy[r.randrange(len(copy))] = "zzz"
+            rows.append((len(rows), " ".join(copy), None))
+        if k % 9 == 0:
+            rows.append((len(rows), f'password: "{"".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(30))}" ' + " ".join(r.choice(words_) for _ in range(90)), None))
+            rows.append((len(rows), "".join(r.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(900)), None))
+    rows += [(len(rows), None, "en"), (len(rows) + 1, "", None), (len(rows) + 2, "123 456", "de"), (None, " ".join(r.choice(english) for _ in range(120)), "en"), rows[3]]
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(d, t, lang, "s", len(t or ""), 1, "x", 2) for d, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, `row` int, tokens string, `group` int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+    want = plain_pipeline(rows)
+    assert {x.doc_id: x.text for x in now.collect()} == want and None in want and any("[secret]" in t for t in want.values())
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(x.doc_id) for x in packed) == sorted(map(str, want))
+    count = packing.encoder().encode_ordinary
+    demands = {x.doc_id: len(count(want[x.doc_id])) for x in packed}
+    assert all(x.tokens == demands[x.doc_id] for x in packed)
+    number, _ = plain_fill([(n, 1, n) for n in demands.values()], (8192, 64, 8192))
+    got = {}
+    for x in packed:
+        got.setdefault(x.pack_id, []).append(x.tokens)
+    wanted = {}
+    for n, p in zip(demands.values(), number):
+        wanted.setdefault(p, []).append(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, wanted.values()))
+
+
 def test_pipeline(spark, tmp_path):
     words = "the cat and dog went to house of king with all men that was not here for you and me".split()
     r = random.Random(5)
