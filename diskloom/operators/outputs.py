@@ -140,28 +140,37 @@ def diagnostics(disks: DataFrame) -> DataFrame:
 
 
 def geometry_listing(disks: DataFrame) -> DataFrame:
-    """(path, disk_idx, line): sectors and their sizes by track and side."""
+    """(path, disk_idx, track, side, line): sectors and their sizes by track and side."""
     own = disks.where("fatal IS NULL").select("path", "disk_idx", F.explode("layout").alias("s")).groupBy("path", "disk_idx", F.col("s.track").alias("track"), F.col("s.side").alias("side"))
     parts = F.array_sort(F.collect_list(F.struct(F.col("s.slice_idx"), F.format_string("%2d:%d", F.col("s.sec_num"), F.col("s.size")).alias("t"))))
-    return own.agg(parts.alias("p")).select("path", "disk_idx", F.format_string("Track %3d, Side %d: %s", "track", "side", F.array_join(F.transform("p", lambda x: x["t"]), ", ")).alias("line"))
+    return own.agg(parts.alias("p")).select("path", "disk_idx", "track", "side", F.format_string("Track %3d, Side %d: %s", "track", "side", F.array_join(F.transform("p", lambda x: x["t"]), ", ")).alias("line"))
 
 
-def autorun(disks: DataFrame) -> DataFrame:
-    """(path, disk_idx, attributes, file_count, payload) of the autorun sector; 0x40 is shown as an unknown attribute."""
+def _autorun() -> Column:
+    """struct(attributes, file_count, payload) of the autorun sector."""
     b = byte(F.col("autorun"), 0)
     names = F.array_compact(F.array(*[F.when(b.bitwiseAND(F.lit(1 << k)) != 0, "Read-Only" if k == 4 else f"UnknownAttr:0x{1 << k:02X}") for k in range(8)]))
     count = byte(F.col("autorun"), 1)
     body = F.rtrim(F.regexp_replace(F.decode(F.substring("autorun", 3, 65536), "ISO-8859-1"), "\\x00+\\z", ""))
     payload = decode(F.encode(body, "ISO-8859-1"), F.col("format.charset"))
-    return disks.where("fatal IS NULL AND autorun IS NOT NULL").select("path", "disk_idx", F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise("None").alias("attributes"), F.when(count != 0xFF, count.cast("string")).otherwise("(ask user)").alias("file_count"), payload.alias("payload"))
+    return F.struct(F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise("None").alias("attributes"), F.when(count != 0xFF, count.cast("string")).otherwise("(ask user)").alias("file_count"), payload.alias("payload"))
+
+
+def autorun(disks: DataFrame) -> DataFrame:
+    """(path, disk_idx, attributes, file_count, payload) of the autorun sector; 0x40 is shown as an unknown attribute."""
+    return disks.where("fatal IS NULL AND autorun IS NOT NULL").select("path", "disk_idx", _autorun().alias("a")).select("path", "disk_idx", "a.*")
 
 
 def _stem() -> Column:
     return F.regexp_replace(F.regexp_replace("path", r"^.*/", ""), r"(?<=.)\.[^.]*\z", "")
 
 
-def extraction(disks: DataFrame) -> DataFrame:
-    """(dir, name, content) of everything that an extraction writes; narrow but for the error counts."""
+#: File name of a disk's log among what is extracted.
+LOG = "_disk_log.txt"
+
+
+def extraction(disks: DataFrame, with_log: bool = True) -> DataFrame:
+    """(dir, name, content) of everything that an extraction writes; narrow but for the error counts and the log."""
     counts = error_counts(disks).withColumnRenamed("errors", "n_errors")
     fmt = F.col("format")
 
@@ -180,22 +189,53 @@ def extraction(disks: DataFrame) -> DataFrame:
 
     all_items = F.concat(item(F.lit("_boot_sector.dat"), fmt["boot"]), sectors, item(F.lit("_AutoRun.dat"), F.col("autorun")), fats, F.flatten(F.transform("entries", kept)))
     place = F.concat(_stem(), F.lit(" [FAT8 Contents]"), "disk_suffix", F.when(F.coalesce("n_errors", F.lit(0)) > 0, F.format_string(" [Error Count %02d]", "n_errors")).otherwise(""))
-    return disks.where("fatal IS NULL").join(counts, "path", "left").select("path", "disk_idx", place.alias("dir"), F.explode(all_items).alias("x")).select("path", "disk_idx", "dir", "x.name", "x.content")
+    named = disks.where("fatal IS NULL").join(counts, "path", "left")
+    out = named.select("path", "disk_idx", place.alias("dir"), F.explode(all_items).alias("x")).select("path", "disk_idx", "dir", "x.name", "x.content")
+    if with_log:
+        told = log(disks).select("path", "disk_idx", F.encode("log", "UTF-8").alias("content"))
+        out = out.unionByName(named.select("path", "disk_idx", place.alias("dir"), F.lit(LOG).alias("name")).join(told, ["path", "disk_idx"]))
+    return out
+
+
+def log_lines(disks: DataFrame) -> DataFrame:
+    """(path, disk_idx, section, pos, line): all that is said about a disk, in order of section and pos."""
+    fmt, none = F.col("format"), F.array().cast("array<string>")
+    frame = F.concat(F.lit("╭"), F.repeat(F.lit("─"), F.lit(16)), F.lit("╮"))
+
+    def dump(title: Column, data: Column, plain: Column | None = None) -> Column:
+        return F.concat(F.array(title), hexdump(data, fmt["charset"], plain))
+
+    unused = F.lit("\\A(FF)*\\z")
+    boot = F.when(fmt["boot"].isNull(), F.array(F.lit("== No boot sector =="))).otherwise(dump(F.concat(F.lit("== Boot sector (track 0, sector 1) =="), F.repeat(F.lit(" "), F.lit(22)), frame), fmt["boot"]))
+    raw = F.flatten(F.transform(fmt["dir_vsecs"], lambda v: F.get(F.concat(
+        F.transform(F.filter("metadata", lambda x: x["vsec"] == v), lambda x: F.when(F.regexp_like(F.hex(x["vdata"]), unused), F.array(F.format_string("Directory sector %2d unused: %d 0xFF bytes", v, F.octet_length(x["vdata"])))).otherwise(dump(F.concat(F.format_string("Directory sector %2d", v), F.repeat(F.lit(" "), F.lit(40)), frame), x["vdata"]))),
+        F.array(F.array(F.format_string("Missing directory sector %2d", v))),
+    ), F.lit(0))))
+    auto = F.when(F.col("autorun").isNull(), F.array(F.lit("== No autorun sector =="))).otherwise(F.concat(
+        dump(F.concat(F.format_string("== Autorun sector %2d ==", fmt["autorun_vsec"]), F.repeat(F.lit(" "), F.lit(35)), frame), F.col("autorun")),
+        F.array(F.concat(F.lit("Disk attributes: "), F.col("a.attributes")), F.concat(F.lit("Number of files: "), F.col("a.file_count")), F.concat(F.lit("Payload: "), F.col("a.payload"))),
+    ))
+
+    def content(e: Column) -> Column:
+        hidden = F.array_contains(e["fattrs"], OBFUSCATED) & fmt["obfuscation"].isNotNull()
+        title = F.concat(F.format_string("%3d. %s.%s %s %8d ", e["idx"], e["name"], e["ext"], F.rpad(quoted_if_odd(e["host_fs_name"]), 27, " "), F.octet_length(e["file_data"])), frame)
+        title = F.when(hidden, F.concat(title, F.lit(" "), F.rpad(quoted_if_odd(e["host_fs_deobf_name"]), 50, " "), F.lit(" "), frame)).otherwise(title)
+        return F.when((F.size(e["errors"]) == 0) & ~deleted(e) & e["file_data"].isNotNull(), dump(title, e["file_data"], F.when(hidden, deobfuscate_by(e["file_data"], fmt["obfuscation"])))).otherwise(none)
+
+    own = disks.where("fatal IS NULL").select("path", "disk_idx", "format", "metadata", "autorun", "entries", "has_fat", _autorun().alias("a"))
+    dumps = F.array(*[F.struct(F.lit(n).alias("section"), x.alias("lines")) for n, x in ((3, boot), (4, raw), (5, auto), (8, F.when(F.col("has_fat"), F.flatten(F.transform("entries", content))).otherwise(none)))])
+    shown = own.select("path", "disk_idx", F.explode(dumps).alias("d")).select("path", "disk_idx", F.col("d.section").alias("section"), F.posexplode("d.lines").alias("pos", "line"))
+    places = geometry_listing(disks).select("path", "disk_idx", F.lit(1).alias("section"), (F.col("track") * 256 + F.col("side")).alias("pos"), "line")
+    found = diagnostics(disks).select("path", "disk_idx", F.lit(2).alias("section"), "pos", F.concat_ws(": ", "label", "value").alias("line"))
+    names = listing(disks).select("path", "disk_idx", F.lit(6).alias("section"), F.col("idx").alias("pos"), "line")
+    wrong = errors(disks).select("path", "disk_idx", F.lit(7).alias("section"), F.lit(0).alias("pos"), F.concat_ws(": ", "severity", "stage", "message").alias("line"))
+    return shown.unionByName(places).unionByName(found).unionByName(names).unionByName(wrong)
 
 
 def log(disks: DataFrame) -> DataFrame:
-    """(path, disk_idx, log): geometry, diagnostics, directory and faults as one text for each disk."""
-    parts = [
-        geometry_listing(disks).select("path", "disk_idx", F.lit(1).alias("section"), F.lit(0).alias("pos"), "line"),
-        diagnostics(disks).select("path", "disk_idx", F.lit(2).alias("section"), "pos", F.concat_ws(": ", "label", "value").alias("line")),
-        listing(disks).select("path", "disk_idx", F.lit(3).alias("section"), F.col("idx").alias("pos"), "line"),
-        errors(disks).select("path", "disk_idx", F.lit(4).alias("section"), F.lit(0).alias("pos"), F.concat_ws(": ", "severity", "stage", "message").alias("line")),
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    """(path, disk_idx, log): geometry, format, sectors, directory, faults and file dumps as one text for each disk."""
     lines = F.array_sort(F.collect_list(F.struct("section", "pos", "line")))
-    return every.groupBy("path", "disk_idx").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("log"))
+    return log_lines(disks).groupBy("path", "disk_idx").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("log"))
 
 
 def exploded(disks: DataFrame) -> DataFrame:
@@ -215,18 +255,53 @@ def exploded(disks: DataFrame) -> DataFrame:
     return top.unionByName(rest).select("path", "disk_idx", "dir", "f.name", "f.content")
 
 
+def _claimed(root: str, folder: str, run: str) -> str:
+    """The folder's name for this run: numbered from 1 where another run has it.
+
+    A claim is made by renaming a folder that holds the run's mark, so tasks that run at once or
+    again agree on it.
+    """
+    import uuid
+
+    number = 0
+    while True:
+        name = folder + (f" ({number})" if number else "")
+        there = os.path.join(root, name)
+        if os.path.exists(os.path.join(there, f".{run}")):
+            return name
+        if not os.path.lexists(there):
+            scratch = os.path.join(root, f".{uuid.uuid4().hex}")
+            os.makedirs(scratch)
+            open(os.path.join(scratch, f".{run}"), "wb").close()
+            try:
+                os.rename(scratch, there)
+                return name
+            except OSError:  # another task was first: look again
+                os.remove(os.path.join(scratch, f".{run}"))
+                os.rmdir(scratch)
+                continue
+        number += 1
+
+
 def write_files(rows: DataFrame, root: str) -> None:
     """Writes (dir, name, content) as files below a folder that all executors share.
 
-    A name can't leave its folder; a file is put in place by renaming, so a task that runs again
-    writes the same files over.
+    A folder that exists already is left alone: the new one has a number behind its name. A name
+    can't leave its folder; a file is put in place by renaming, so a task that runs again writes the
+    same files over.
     """
+    import uuid
 
-    def put(part) -> None:
-        import uuid
+    run = f"run-{uuid.uuid4().hex}"
 
+    def put(part) -> None:
+        names: dict[str, str] = {}
         for row in part:
-            folder = os.path.join(root, *[p for p in row["dir"].split("/") if p not in ("", ".", "..")])
+            first, *rest = [p for p in row["dir"].split("/") if p not in ("", ".", "..")] or ["_"]
+            if first not in names:
+                os.makedirs(root, exist_ok=True)
+                names[first] = _claimed(root, first, run)
+            folder = os.path.join(root, names[first], *rest)
             os.makedirs(folder, exist_ok=True)
             name = row["name"].replace("/", "%2F").replace("\0", "%00")
             scratch = os.path.join(folder, f".{uuid.uuid4().hex}")
@@ -235,3 +310,7 @@ def write_files(rows: DataFrame, root: str) -> None:
             os.replace(scratch, os.path.join(folder, name))
 
     rows.select("dir", "name", "content").foreachPartition(put)
+    for name in os.listdir(root) if os.path.isdir(root) else ():
+        mark = os.path.join(root, name, f".{run}")
+        if os.path.exists(mark):
+            os.remove(mark)
