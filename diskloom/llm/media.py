@@ -7,11 +7,16 @@ decoded bytes, else that of the address. Payload tables are keyed by the same di
 ``resolve`` attaches them: references are exploded, joined on the digest and put back at their
 positions, so text, media and captions stay aligned.
 
+A picture's address is its src, data-src or first srcset entry, else that of the first source of
+its picture element; a video's poster is an image of its own before it; frames are embeds.
+
 Defined results: null html has a null sequence, html without text or media an empty one; a
 reference without an address is left out; a digest without payload keeps its item with a null
-payload; several payloads of one digest give the one with the smallest media type, then bytes;
-the same reference twice gives two items; a caption goes with every media item of its figure.
-Pages are resolved by content, so a null or repeated page_id is no matter.
+payload; several payloads of one digest give the one with the smallest media type, then bytes (a null
+type first); the same reference twice gives two items; a caption goes with every media item of its
+figure. Pages may be of any length, with time in proportion. Pages are resolved by content, so a null
+or repeated page_id is no matter, and repeated pages have equal items; other columns, whatever their
+names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .html_text import _DROP, _SPACE, BLOCKS
-
-MEDIA = {"img": ("image", "src"), "video": ("video", "src"), "audio": ("audio", "src"), "source": ("", "src"), "embed": ("embed", "src"), "object": ("embed", "data"), "input": ("image", "src"), "image": ("image", "href")}
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
-_HIDDEN = re.compile(r"<(object|svg)\b", re.I)
+from .html_text import _SPACE, BLOCKS
+from .markup import DROP, attributes, tokens
+
+MEDIA = {"img": "image", "image": "image", "input": "image", "video": "video", "audio": "audio", "source": "", "embed": "embed", "object": "embed", "iframe": "embed"}
+#: What markup passes over: elements that are references are read.
+_DROP = DROP - {"svg", "object", "iframe"}
+#: JVM test that no page with a reference fails.
+HINT = "(?i)<(img|image|input|video|audio|source|embed|object|iframe)"
 ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("url", pa.string()), ("caption", pa.string()), ("digest", pa.string()), ("media_type", pa.string()), ("size", pa.int64())])
 ITEM_DDL = "struct<pos:int,kind:string,text:string,url:string,caption:string,digest:string,media_type:string,size:bigint>"
 
@@ -59,17 +66,35 @@ def absolute(base: str | None, address: str) -> str:
         return address
 
 
-def sequence(source: str | None, base: str | None) -> list[dict] | None:
-    """The items of a page in order."""
+def addresses(name: str, has: dict[str, str], owner: str) -> list[tuple[str, str]]:
+    """(kind, address) of each reference of a tag."""
+    listed = (has.get("srcset") or "").split()
+    if name == "img":
+        found = [("image", has.get("src") or has.get("data-src") or (listed[0].rstrip(",") if listed else ""))]
+    elif name == "image":
+        found = [("image", has.get("href") or has.get("xlink:href") or "")]
+    elif name == "input":
+        found = [("image", has.get("src", ""))] if has.get("type", "").lower() == "image" else []
+    elif name == "source":
+        found = [(owner, has.get("src", ""))] if owner in ("video", "audio") else []
+    else:
+        found = [(MEDIA[name], has.get("data" if name == "object" else "src", ""))]
+        if name == "video":
+            found.insert(0, ("image", has.get("poster", "")))
+    return [(kind, address.strip()) for kind, address in found if address.strip()]
+
+
+def parsed(source: str | None, base: str | None) -> tuple[list[dict] | None, dict[str, tuple[str, bytes]]]:
+    """(items of a page in order, media type and bytes of its inline payloads by digest)."""
     if source is None:
-        return None
-    kept = _DROP if not _HIDDEN.search(source) else re.compile(_DROP.pattern.replace("|svg", "").replace("|object", ""), _DROP.flags)
-    source = kept.sub(" ", source)
+        return None, {}
     items: list[dict] = []
+    payloads: dict[str, tuple[str, bytes]] = {}
     parts: list[str] = []
     figure: list[dict] | None = None
+    said: str | None = None  # the figure's caption so far
     caption: list[str] | None = None
-    owner = ""
+    owner, fallback = "", ""
 
     def end() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -77,56 +102,63 @@ def sequence(source: str | None, base: str | None) -> list[dict] | None:
         if text:
             items.append({"kind": "text", "text": text})
 
-    at = 0
-    for m in _TAG.finditer(source):
-        (parts if caption is None else caption).append(source[at : m.start()])
-        at = m.end()
-        closing, name = bool(m[1]), m[2].lower()
+    def close_caption() -> None:
+        nonlocal caption, said
+        if caption is not None:
+            said = _SPACE.sub(" ", html.unescape(" ".join(caption))).strip() or said
+        caption = None
+
+    def close_figure() -> None:
+        nonlocal figure, said
+        close_caption()
+        for item in figure or ():
+            item["caption"] = said or item["caption"]
+        figure, said = None, None
+
+    for text, name, closing, inside in tokens(source, _DROP):
+        (parts if caption is None else caption).append(text)
+        if not name:
+            (parts if caption is None else caption).append(" ")
+            continue
         if name in BLOCKS and caption is None:
             end()
         if name == "figure":
-            if closing or figure is not None:
-                figure, caption = None, None
-            if not closing:
-                figure = []
+            close_figure()
+            figure = None if closing else []
         elif name == "figcaption" and figure is not None:
-            if closing and caption is not None:
-                said = _SPACE.sub(" ", html.unescape(" ".join(caption))).strip()
-                for item in figure:
-                    item["caption"] = said or item.get("caption")
-                figure.append({"said": said})
-                caption = None
-            elif not closing:
-                caption = []
+            close_caption()
+            caption = None if closing else []
         elif name in ("video", "audio", "picture"):
-            owner = "" if closing else name
-        if not closing and name in MEDIA:
-            has = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(m[3])}
-            kind, where = MEDIA[name]
-            address = (has.get(where) or (has.get("data-src") if name == "img" else "") or "").strip()
-            if not address or name == "input" and has.get("type", "").lower() != "image":
-                continue
-            if name == "source":
-                if owner not in ("video", "audio"):
-                    continue
-                kind = owner
+            owner, fallback = "" if closing else name, ""
+        if closing or name not in MEDIA:
+            continue
+        has = {k: html.unescape(v) for k, v in attributes(inside).items()}
+        found = addresses(name, has, owner)
+        if name == "source" and owner == "picture" and not fallback:
+            fallback = next(iter((has.get("srcset") or has.get("src") or "").split()), "").rstrip(",")
+        if name == "img" and not found and fallback:
+            found = [("image", fallback)]
+        for kind, address in found:
             if caption is None:
                 end()
             inline = data_address(address)
             url = None if inline else absolute(base, address)
-            item = {"kind": kind, "url": url, "caption": _SPACE.sub(" ", has.get("alt") or has.get("title") or "").strip() or None, "digest": hashlib.sha256(inline[1] if inline else url.encode("utf-8", "replace")).hexdigest(), "media_type": inline[0] if inline else has.get("type"), "size": len(inline[1]) if inline else None}
+            digest = hashlib.sha256(inline[1] if inline else url.encode("utf-8", "replace")).hexdigest()
+            if inline and inline < payloads.get(digest, (chr(0x10FFFF), b"")):
+                payloads[digest] = inline
+            own = _SPACE.sub(" ", has.get("alt") or has.get("title") or "").strip() or None
+            item = {"kind": kind, "url": url, "caption": own, "digest": digest, "media_type": inline[0] if inline else (has.get("type") if name != "input" and kind != "image" else None), "size": len(inline[1]) if inline else None}
             if figure is not None:
-                said = next((x["said"] for x in figure if "said" in x), None)
-                item["caption"] = said or item["caption"]
                 figure.append(item)
             items.append(item)
-    (parts if caption is None else caption).append(source[at:])
-    if caption is not None and figure is not None:
-        said = _SPACE.sub(" ", html.unescape(" ".join(caption))).strip()
-        for item in figure:
-            item["caption"] = said or item.get("caption")
+    close_figure()
     end()
-    return [{"pos": k} | x for k, x in enumerate(items)]
+    return [{"pos": k} | x for k, x in enumerate(items)], payloads
+
+
+def sequence(source: str | None, base: str | None) -> list[dict] | None:
+    """The items of a page in order."""
+    return parsed(source, base)[0]
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -142,22 +174,19 @@ def sequences(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), page.alias("page")).mapInArrow(run, f"page_id {kind}, page binary, items array<{ITEM_DDL}>")
 
 
-def inline_payloads(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def inline_payloads(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(digest, media_type, payload) of the data: addresses in the pages, one row for each digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "html"):
             seen: dict[str, tuple[str, bytes]] = {}
             for source in part.column("html").to_pylist():
-                for m in _TAG.finditer(source or ""):
-                    if m[2].lower() in MEDIA and "data:" in m[3].lower():
-                        for _, a, b, c in _ATTRIBUTE.findall(m[3]):
-                            if inline := data_address(html.unescape(a or b or c).strip()):
-                                seen.setdefault(hashlib.sha256(inline[1]).hexdigest(), inline)
+                for digest, inline in parsed(source, None)[1].items():
+                    seen[digest] = min(inline, seen.get(digest, inline))
             yield pa.record_batch({"digest": pa.array(list(seen), pa.string()), "media_type": pa.array([x[0] for x in seen.values()], pa.string()), "payload": pa.array([x[1] for x in seen.values()], pa.binary())})
 
-    found = pages.select(F.col(html_col).alias("html")).where(F.col("html").contains("data:")).mapInArrow(run, "digest string, media_type string, payload binary")
-    return found.groupBy("digest").agg(F.min_by("media_type", F.struct("media_type", "payload")).alias("media_type"), F.min_by("payload", F.struct("media_type", "payload")).alias("payload"))
+    found = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike(HINT)).mapInArrow(run, "digest string, media_type string, payload binary")
+    return found.groupBy("digest").agg(F.min(F.struct("media_type", "payload")).alias("p")).select("digest", "p.media_type", "p.payload")
 
 
 def resolve(found: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -186,7 +215,14 @@ def resolve(found: DataFrame, payloads: DataFrame) -> DataFrame:
     )
 
 
-def interleave(pages: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
-    """Sequences of the pages, resolved with their own inline payloads and those of a payload table."""
-    own = inline_payloads(pages)
-    return resolve(sequences(pages), own if payloads is None else own.unionByName(payloads.select("digest", "media_type", "payload")))
+def interleave(pages: DataFrame, payloads: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Sequences of the pages, resolved with their own inline payloads and those of a payload table.
+
+    Pages without a reference have nothing to resolve and stay where they are read.
+    """
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    refers = F.coalesce(F.col("html").rlike(HINT), F.lit(False))
+    known = inline_payloads(own)
+    found = resolve(sequences(own.where(refers)), known if payloads is None else known.unionByName(payloads.select("digest", "media_type", "payload")))
+    plain = sequences(own.where(~refers)).select("page_id", F.transform("items", lambda x: x.withField("payload", F.lit(None).cast("binary"))).alias("items"))
+    return found.unionByName(plain)
