@@ -130,6 +130,25 @@ def decode_rbyte(data: bytes) -> tuple[int, int, list[bytes]]:
     return width, height, planes
 
 
+def drawn_rbyte(data: bytes) -> tuple[int, int, list[bytes], list[int], str | None]:
+    """(width, height, planes, lines drawn of each plane, error): what there is of a picture that may end too soon."""
+    if len(data) < 4:
+        raise BadPicture("not enough data for a picture header")
+    width, height = struct.unpack("<HH", data[:4])
+    _checked(width, height)
+    source, planes, why = _Reader(data, 4), [[], [], []], None
+    try:
+        for done in planes:
+            for _ in range(height if width else 0):
+                line = decode_line(source, width, done)
+                if len(line) != width:
+                    raise BadPicture("copying pixels that are not drawn yet")
+                done.append(line)
+    except BadPicture as fault:
+        why = str(fault)
+    return width, height, [b"".join(p).ljust(width * height, b"\0") for p in planes], [len(p) for p in planes], why
+
+
 def decode_rbyte88(data: bytes) -> tuple[int, int, list[bytes]]:
     """(width, height, planes) of a PC-88 picture: two equal bytes are followed by a count of themselves."""
     if len(data) < 2:
@@ -206,11 +225,42 @@ def _tile(spec: str) -> np.ndarray:
     return np.array([[int(c) for c in r] for r in full], dtype=np.uint8)
 
 
+def _weights(size: int, to: int) -> np.ndarray:
+    """(to, size) matrix of a cubic filter (a = -1/2) as wide as the reduction, in 22-bit fixed point."""
+    ratio = size / to
+    wide = max(ratio, 1.0)
+    out = np.zeros((to, size))
+    for k in range(to):
+        centre = (k + 0.5) * ratio
+        first, last = max(0, int(centre - 2 * wide + 0.5)), min(size, int(centre + 2 * wide + 0.5))
+        x = np.abs((np.arange(first, last) - centre + 0.5) / wide)
+        own = np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
+        out[k, first:last] = own / own.sum()
+    return np.trunc(out * (1 << 22) + np.where(out < 0, -0.5, 0.5)).astype(np.int64)
+
+
+def scaled(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """An (h, w, 3) image in another size, first across and then down, rounded to bytes after each."""
+    half = 1 << 21
+    if width != pixels.shape[1]:
+        pixels = np.clip((np.einsum("kw,hwc->hkc", _weights(pixels.shape[1], width), pixels.astype(np.int64)) + half) >> 22, 0, 255).astype(np.uint8)
+    if height != pixels.shape[0]:
+        pixels = np.clip((np.einsum("kh,hwc->kwc", _weights(pixels.shape[0], height), pixels.astype(np.int64)) + half) >> 22, 0, 255).astype(np.uint8)
+    return pixels
+
+
 def planes_of(pixels: np.ndarray) -> tuple[int, int, list[bytes]]:
-    """Dithered planes of an (h, w, 3) RGB image: the brighter of each two scan lines in eight colours."""
+    """Dithered planes of an (h, w, 3) RGB image: the brighter of each two scan lines in eight colours.
+
+    Images over 640 x 400 pixels are scaled down to fit, keeping their shape.
+    """
     h, w = pixels.shape[:2]
     if w > 8 * MAX_WIDTH or h > 2 * MAX_HEIGHT:
-        raise BadPicture("images over 640 x 400 pixels are not scaled down")
+        scale = min(8 * MAX_WIDTH / w, 2 * MAX_HEIGHT / h)
+        w, h = int(w * scale), int(h * scale)
+        if not w or not h:
+            raise BadPicture("nothing is left of the image at 640 x 400 pixels")
+        pixels = scaled(pixels, w, h)
     width, height = (w + 7) // 8, (h + 1) // 2
     upper = pixels[0::2].astype(np.int64)
     lower = upper.copy()
@@ -327,7 +377,8 @@ def _encoder(kind: str, level: int):
         rows = []
         for width, height, channels, data in zip(image["width"], image["height"], image["channels"], image["data"]):
             try:
-                raw = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+                raw = np.frombuffer(data, dtype=np.uint8)
+                raw = (raw[1::2] if len(raw) == 2 * height * width * channels else raw).reshape(height, width, channels)  # of 16-bit samples the high byte
                 pixels = np.repeat(raw, 3, axis=2) if channels == 1 else raw[:, :, 2::-1]
                 w, h, planes = planes_of(pixels)
                 rows.append((encode_rbyte(w, h, planes, level) if kind == "rbyte" else encode_rbyte88(w, h, planes), None))
@@ -358,8 +409,6 @@ def png_of(width: int, height: int, planes: list[bytes], x: int | None = None, y
     cols, rows = 8 * (MAX_WIDTH if x is not None else width), 2 * (MAX_HEIGHT if y is not None else height)
     if (x or 0) + width > MAX_WIDTH or (y or 0) + height > MAX_HEIGHT or min(x or 0, y or 0) < 0:
         raise BadPicture("the place puts the image off the screen")
-    head = b"\x89PNG\r\n\x1a\n"
-    gamma = _chunk(b"gAMA", (45455).to_bytes(4, "big"))
     top, left = 2 * (y or 0), 8 * (x or 0)
     if cols == 8 * width and rows == 2 * height:
         kind, pixels = 3, (green + 2 * red + 4 * blue).astype(np.uint8)[:, :, None]
@@ -370,9 +419,107 @@ def png_of(width: int, height: int, planes: list[bytes], x: int | None = None, y
         pixels = np.zeros((rows, cols, 4), dtype=np.uint8)
         own = np.stack([red, green, blue, np.ones_like(red)], axis=2) * 255
         pixels[top : top + 2 * height, left : left + 8 * width] = own
-    flat = pixels.reshape(rows, -1)
-    lines = np.concatenate([np.zeros((rows, 1), dtype=np.uint8), flat], axis=1).tobytes()
-    return head + _chunk(b"IHDR", struct.pack(">IIBBBBB", cols, rows, 8, kind, 0, 0, 0)) + gamma + extra + _chunk(b"IDAT", zlib.compress(lines)) + _chunk(b"IEND", b"")
+    return _png(cols, rows, kind, pixels, extra)
+
+
+def _png(cols: int, rows: int, kind: int, pixels: np.ndarray, extra: bytes) -> bytes:
+    lines = np.concatenate([np.zeros((rows, 1), dtype=np.uint8), pixels.reshape(rows, -1)], axis=1).tobytes()
+    head = b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", cols, rows, 8, kind, 0, 0, 0)) + _chunk(b"gAMA", (45455).to_bytes(4, "big"))
+    return head + extra + _chunk(b"IDAT", zlib.compress(lines)) + _chunk(b"IEND", b"")
+
+
+def png_of_drawn(width: int, height: int, planes: list[bytes], lines: list[int]) -> bytes:
+    """A scan-doubled PNG of a picture of which so many lines of each plane are drawn.
+
+    Pixels without a plane are transparent, those with some of the planes half transparent.
+    """
+    blue, red, green = (np.unpackbits(np.frombuffer(p, dtype=np.uint8).reshape(height, width), axis=1) for p in planes)
+    there = np.array([np.arange(height) < n for n in lines]).sum(axis=0)
+    alpha = np.where(there == 3, 255, np.where(there == 0, 0, 127)).astype(np.uint8)
+    pixels = np.dstack([red * 255, green * 255, blue * 255, np.repeat(alpha[:, None], 8 * width, axis=1)]).astype(np.uint8).repeat(2, axis=0)
+    return _png(8 * width, 2 * height, 6, pixels, b"")
+
+
+def rbyte_png(data: Column) -> Column:
+    """struct(png, error) of a PC-98 picture: whole, or as much as is drawn before the fault."""
+
+    @F.pandas_udf("struct<png:binary,error:string>")
+    def run(column: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in column:
+            try:
+                if raw is None:
+                    raise BadPicture("no data")
+                width, height, planes, lines, why = drawn_rbyte(bytes(raw))
+                rows.append((png_of(width, height, planes) if why is None else png_of_drawn(width, height, planes, lines), why))
+            except BadPicture as why:
+                rows.append((None, str(why)))
+        return pd.DataFrame(rows, columns=["png", "error"], dtype=object)
+
+    return run(data)
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """(h, w, 3) RGB bytes of a PNG of any kind: of 16-bit samples the high byte, of transparency nothing is kept."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise BadPicture("not a PNG")
+    at, body, colours = 8, b"", None
+    while at + 8 <= len(data):
+        size, tag = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        own = data[at + 8 : at + 8 + size]
+        if tag == b"IHDR":
+            width, height, depth, kind, _, _, laced = struct.unpack(">IIBBBBB", own)
+        elif tag == b"PLTE":
+            colours = np.frombuffer(own, dtype=np.uint8).reshape(-1, 3)
+        elif tag == b"IDAT":
+            body += own
+        at += 12 + size
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    raw, place = zlib.decompress(body), 0
+    out = np.zeros((height, width, channels), dtype=np.uint8)
+    step = max(1, channels * depth // 8)
+    for x0, y0, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)) if laced else ((0, 0, 1, 1),):
+        w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
+        if w <= 0 or h <= 0:
+            continue
+        line = -(-w * channels * depth // 8)
+        before = bytearray(line)
+        for y in range(h):
+            way, now = raw[place], bytearray(raw[place + 1 : place + 1 + line])
+            place += 1 + line
+            for k in range(line) if way else ():
+                a, b, c = now[k - step] if k >= step else 0, before[k], before[k - step] if k >= step else 0
+                near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+                now[k] = now[k] + (a, b, (a + b) // 2, near)[way - 1] & 255
+            before = now
+            samples = np.frombuffer(bytes(now), dtype=np.uint8)
+            if depth == 16:
+                samples = samples[::2]
+            elif depth < 8:
+                bits = np.unpackbits(samples).reshape(-1, depth)
+                samples = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[: w * channels]
+                samples = samples if kind == 3 else (samples.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+            out[y0 + y * dy, x0 : width : dx] = samples.reshape(w, channels)
+    if kind == 3:
+        return colours[out[:, :, 0]]
+    return np.repeat(out[:, :, :1], 3, axis=2) if channels < 3 else out[:, :, :3]
+
+
+def image_of(png_bytes: Column) -> Column:
+    """struct(width, height, nChannels, data) of a PNG, as the image source has it; null where it can't be read."""
+
+    @F.pandas_udf("struct<width:int,height:int,nChannels:int,data:binary>")
+    def run(column: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in column:
+            try:
+                pixels = read_png(bytes(raw))
+                rows.append((pixels.shape[1], pixels.shape[0], 3, pixels[:, :, ::-1].tobytes()))
+            except (BadPicture, TypeError, KeyError, IndexError, ValueError, UnboundLocalError, struct.error, zlib.error):
+                rows.append((None, None, None, None))
+        return pd.DataFrame(rows, columns=["width", "height", "nChannels", "data"], dtype=object)
+
+    return run(png_bytes)
 
 
 def png(picture: Column, x: int | None = None, y: int | None = None) -> Column:
