@@ -9,7 +9,8 @@ longer one, whatever their length; groups are the connected components. All pair
 looked at: those of a spanning tree over sampled symbols, which joins most near texts, are verified
 first; then, in buckets that still have several groups, the 3-gram counts of every two texts of unlike
 groups, which give a lower bound of their distance, and where the bound allows it the texts. Buckets
-of more than ``BLOCK`` rows are compared in tasks of two blocks of texts of about a length.
+that are led by one group are taken together, and more than ``BLOCK`` rows are compared in tasks of two
+blocks of texts of about a length, so no task and no row grows with a bucket.
 
 The more edits there are, the longer a walk stays out of step, so texts of ``WINDOWED`` characters
 and more are put into buckets by windows instead: a band is the hash of ``PICKS`` windows of
@@ -41,9 +42,13 @@ from .common import chunks, code_points, digest, list_array, mix64, ragged_arang
 
 #: Near texts have an edit distance of one PART-th of the longer one at most.
 PART = 25
-#: Characters of the runs that bound the distance from below; of those at which a way from text to text goes on, and how far these are looked for.
-GRAM, RESUME, REACH = 4, 12, 64
+#: Characters of the texts whose distances are worked out at a time; bounds memory, not results.
+MARKS = 4_000_000
+#: Pairs that a task compares before it looks which ones still have to be.
+PAIRS = 8_192
 WALKS, BANDS, ROWS, SKETCH = 4, 24, 7, 24
+#: Walks over texts whose bands are windows: they write the sketch only.
+LONG_WALKS = 2
 #: The walks' random bits repeat after so many steps; characters have one of KINDS sets of bits.
 PERIOD, KINDS = 8192, 64
 SHORTEST, RATIO = 20, 1.25
@@ -158,28 +163,36 @@ def windows(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return key
 
 
+def _symbols(points: np.ndarray, lengths: np.ndarray, texts: np.ndarray, classes: np.ndarray, walk: int, many: int) -> np.ndarray:
+    """Symbols that a walk writes at the sampled steps of each of ``texts``, ascending, for the class beside it."""
+    starts = np.cumsum(lengths) - lengths
+    own, back = np.unique(texts, return_inverse=True)
+    size = lengths[own]
+    flat = points[np.repeat(starts[own], size) + ragged_arange(size)]
+    kinds = (mix64(flat.astype(np.uint64)) & np.uint64(KINDS - 1)).astype(np.uint8)
+    place = (np.repeat(np.arange(len(own), dtype=np.int64), size) << 40) | arrivals(kinds, np.cumsum(size) - size, size, walk)
+    distinct, of = np.unique(classes, return_inverse=True)
+    at = np.searchsorted(place, (back[:, None] << 40) | steps_of(distinct, walk, many)[of], side="right") - 1
+    return mix64(flat[at].astype(np.uint64))
+
+
 def sampled(points: np.ndarray, lengths: np.ndarray, which: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, sketches) of the texts ``which``, each sampled for the class beside it."""
-    starts = np.cumsum(lengths) - lengths
-    kinds = (mix64(points.astype(np.uint64)) & np.uint64(KINDS - 1)).astype(np.uint8)
-    text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    per = BANDS // WALKS
     keys = np.zeros((len(which), BANDS), dtype=np.uint64)
     sketch = np.zeros((len(which), SKETCH), dtype=np.uint8)
-    distinct, back = np.unique(classes, return_inverse=True)
-    many = per * ROWS + SKETCH // WALKS
-    for walk in range(WALKS):
-        place = (text << 40) | arrivals(kinds, starts, lengths, walk)
-        steps = steps_of(distinct, walk, many)[back]
-        at = np.searchsorted(place, (which[:, None] << 40) | steps, side="right") - 1
-        symbols = mix64(points[at].astype(np.uint64))
-        for k in range(per):
-            key = (np.uint64(walk * per + k + 1) << np.uint64(32)) | classes.astype(np.uint64)
-            for r in range(ROWS):
-                key = mix64(key ^ symbols[:, k * ROWS + r]) + np.uint64(r)
-            keys[:, walk * per + k] = key
-        sketch[:, walk * (SKETCH // WALKS) : (walk + 1) * (SKETCH // WALKS)] = (symbols[:, per * ROWS :] >> np.uint64(13)).astype(np.uint8)
     wide = SHORTEST * RATIO**classes >= WINDOWED
+    for rows, walks, per in ((np.flatnonzero(~wide), WALKS, BANDS // WALKS), (np.flatnonzero(wide), LONG_WALKS, 0)):
+        if not len(rows):
+            continue
+        share = SKETCH // walks
+        for walk in range(walks):
+            symbols = _symbols(points, lengths, which[rows], classes[rows], walk, per * ROWS + share)
+            for k in range(per):
+                key = (np.uint64(walk * per + k + 1) << np.uint64(32)) | classes[rows].astype(np.uint64)
+                for r in range(ROWS):
+                    key = mix64(key ^ symbols[:, k * ROWS + r]) + np.uint64(r)
+                keys[rows, walk * per + k] = key
+            sketch[rows, walk * share : (walk + 1) * share] = (symbols[:, per * ROWS :] >> np.uint64(13)).astype(np.uint8)
     if wide.any():
         own = windows(points, lengths)[which[wide]]
         keys[wide] = mix64(own ^ mix64(classes[wide].astype(np.uint64) + np.uint64(1))[:, None])
@@ -227,86 +240,109 @@ def counted(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashes of the runs of GRAM characters, a power of two."""
-    h = mix64(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1))
-    k = 1
-    while k < GRAM:
-        h = h[:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:]
-        k *= 2
-    return h
-
-
-def apart(a: str, b: str) -> int:
-    """Edits that runs of GRAM characters which only one text has ask for; the edit distance is never less."""
-    if min(len(a), len(b)) < GRAM:
-        return 0
-    least, (x, y) = 0, (grams(a), grams(b))
-    for own, other in ((x, y), (y, x)):
-        at = np.flatnonzero(~np.isin(own, other))
-        reach = found = 0
-        for k in at.tolist():  # runs that don't touch each other need an edit each
-            if k >= reach:
-                found, reach = found + 1, k + GRAM
-        least = max(least, found)
-    return least
-
-
-def common(a: str, b: str, i: int, j: int) -> int:
-    """Characters that a from i and b from j have in common."""
-    at, step = 0, 16
-    while step:
-        if a[i + at : i + at + step] == b[j + at : j + at + step] and i + at + step <= len(a) and j + at + step <= len(b):
-            at, step = at + step, step * 2
-        else:
-            step = step // 2
-            while step and not (i + at + step <= len(a) and j + at + step <= len(b) and a[i + at : i + at + step] == b[j + at : j + at + step]):
-                step //= 2
-            if step:
-                at += step
-                step //= 2
-    while i + at < len(a) and j + at < len(b) and a[i + at] == b[j + at]:
-        at += 1
-    return at
-
-
-def resumed(a: str, b: str, most: int) -> int:
-    """Edits of one way from a to b, or most + 1 where they are more; the edit distance is never more.
-
-    What is common is kept; behind a difference the way goes on where RESUME characters of a are
-    in b again.
+def _batch(texts: list[np.ndarray], first_of: np.ndarray, second_of: np.ndarray, most: np.ndarray, wide: int) -> np.ndarray:
+    """Whether the edit distance of each pair of texts (code points), the first no longer, is at most ``most``.
+
+    A column at a time for all pairs at once, as bits of a band of 64 * wide rows along the diagonal
+    (Myers, 1999; Hyyro, 2003); most must be below 32 * wide.
     """
-    i = j = total = 0
-    n, m = len(a), len(b)
-    while total <= most:
-        k = common(a, b, i, j)
-        i, j = i + k, j + k
-        if n - i < 2 * RESUME or m - j < 2 * RESUME:
-            return min(most + 1, total + (counted(a[i:], b[j:], most - total) if i < n and j < m else n - i + m - j))
-        for p in range(REACH):
-            q = b.find(a[i + p : i + p + RESUME], j, j + p + REACH) if i + p + RESUME <= n else -1
-            if q >= 0:
-                break
+    count, half = len(most), 32 * wide
+    size = np.array([len(x) for x in texts], dtype=np.int64)
+    m, n = size[first_of], size[second_of]
+    longest = int(n.max())
+    alphabet = np.unique(np.concatenate(texts))
+    coded = [np.searchsorted(alphabet, x) for x in texts]
+    begin: dict[int, tuple[int, int, np.ndarray]] = {}  # of a text: where its marks begin, words of a character, row by character
+    marks: list[np.ndarray] = []
+    base = 0
+    for k in np.unique(first_of).tolist():
+        known, back = np.unique(coded[k], return_inverse=True)
+        words_ = -(-(len(texts[k]) + 4 * half + 64) // 64)
+        own = np.zeros((len(known) + 1, words_ * 64), dtype=bool)  # the last row is of characters that it lacks
+        own[back, np.arange(half, half + len(texts[k]))] = True
+        marks.append(np.packbits(own, axis=1, bitorder="little").view(np.uint64).ravel())
+        rows = np.full(len(alphabet), len(known), dtype=np.int64)
+        rows[known] = np.arange(len(known))
+        begin[k] = base, words_, rows
+        base += own.shape[0] * words_
+    codes = np.zeros((longest, count), dtype=np.int64)  # where the marks of each column's character begin
+    for k, (a, b) in enumerate(zip(first_of.tolist(), second_of.tolist())):
+        at, words_, rows = begin[a]
+        codes[: n[k], k] = at + rows[coded[b]] * words_
+    bits = np.concatenate([*marks, np.zeros(longest // 64 + wide + 2, dtype=np.uint64)])  # ended pairs read on
+    ones, top = ~np.uint64(0), np.uint64(63)
+    up = np.zeros((wide, count), dtype=np.uint64)
+    up[wide // 2 :] = ones
+    if wide % 2:
+        up[wide // 2] = ones << np.uint64(32)
+    down = np.zeros_like(up)
+    score = np.minimum(half - 1, m)
+    turn = m - (half - 1)  # from this column on, the score goes along the last row
+    first, reach = int(turn.min()), np.arange(wide + 1)[:, None]
+    every = np.arange(count)
+    for j in range(longest):
+        gone, r = divmod(j, 64)
+        own = bits[codes[j] + (reach + gone)]
+        if r:
+            same = own[:-1] >> np.uint64(r) | own[1:] << np.uint64(64 - r)
         else:
-            return most + 1
-        total += counted(a[i : i + p], b[j:q], most) if p and q > j else max(p, q - j)
-        i, j = i + p, q
-    return most + 1
-
-
-def distance(a: str, b: str, most: int) -> int:
-    """Edit distance of a and b, or most + 1 where it is more."""
-    if len(a) > len(b):
-        a, b = b, a
-    return most + 1 if len(b) - len(a) > most else counted(a, b, most)
+            same = own[:-1]
+        both = same & up
+        total = both + up
+        over = total < both
+        for w in range(1, wide):
+            carry = over[w - 1]
+            total[w] += carry
+            over[w] |= carry & (total[w] == 0)
+        level = total ^ up | same | down
+        right, left = down | ~(level | up), level & up
+        if j < first:
+            score += level[-1] >> top == 0
+        else:
+            early = j < turn
+            score += early & (level[-1] >> top == 0)
+            late = ~early & (j < n)
+            place = np.where(late, m - 1 - j + half, 0)
+            word, bit = place >> 6, (place & 63).astype(np.uint64)
+            one = np.uint64(1)
+            score += np.where(late, (right[word, every] >> bit & one).astype(np.int64) - (left[word, every] >> bit & one).astype(np.int64), 0)
+        level[:-1] = level[:-1] >> np.uint64(1) | level[1:] << top
+        level[-1] >>= np.uint64(1)
+        up, down = left | ~(level | right), level & right
+    return score <= most
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def near_pairs(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of the texts a and b of each pair is at most a PART-th of the longer one."""
+    size = np.array([len(x) for x in texts], dtype=np.int64)
+    a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    most = size[b] // PART
+    out = np.array([texts[x] == texts[y] for x, y in zip(a.tolist(), b.tolist())], dtype=bool)
+    todo = np.flatnonzero(~out & (size[b] - size[a] <= most) & (most > 0))
+    todo = todo[np.argsort(size[b][todo], kind="stable")]
+    wide = most[todo] // 32 + 1
+    at = 0
+    while at < len(todo):
+        end, most_wide = at + 1, max(int(wide[at]) + 1, int(wide[at]) * 5 // 4)
+        room = min(2048, MARKS // max(1, int(size[b[todo[at]]])))
+        while end < len(todo) and wide[end] <= most_wide and end - at < room:
+            end += 1
+        own = todo[at:end]
+        if len(own) < 60 + wide[end - 1]:  # too few for steps over all of them to pay
+            out[own] = [counted(texts[a[k]], texts[b[k]], int(most[k])) <= most[k] for k in own.tolist()]
+        else:
+            used, back = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
+            out[own] = _batch([_points(texts[k]) for k in used.tolist()], back[: len(own)], back[len(own) :], most[own], int(wide[end - 1]))
+        at = end
+    return out
 
 
 def near(a: str, b: str) -> bool:
-    """Whether the edit distance is at most a PART-th of the longer text: by a bound from above, one from below, else exactly."""
-    most = max(len(a), len(b)) // PART
-    if abs(len(a) - len(b)) > most:
-        return False
-    return resumed(a, b, most) <= most or apart(a, b) <= most and distance(a, b, most) <= most
+    return bool(near_pairs([a, b], np.array([0]), np.array([1]))[0])
 
 
 def sign(rows: DataFrame) -> DataFrame:
@@ -334,8 +370,8 @@ def sign(rows: DataFrame) -> DataFrame:
     return held.mapInArrow(run, f"row long, doc_id {kind}, digest binary, chars long, keys array<long>, sketches array<binary>, print binary")
 
 
-def candidates(reps: DataFrame, least: int = SKETCH // 4) -> DataFrame:
-    """(a, b) row pairs to verify among (row, keys, sketches)."""
+def candidates(reps: DataFrame, least: int = SKETCH // 4) -> tuple[DataFrame, DataFrame]:
+    """Of (row, keys, sketches): (a, b) row pairs to verify first, and (key, row) of the buckets of several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in graph.by_region(batches, "key"):
@@ -350,10 +386,13 @@ def candidates(reps: DataFrame, least: int = SKETCH // 4) -> DataFrame:
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
             nodes = table.column("row").to_numpy()
             a, b = graph.link([], sketches, nodes, np.cumsum(size) - size, least)
-            yield pa.record_batch({"a": pa.array(np.minimum(nodes[a], nodes[b])), "b": pa.array(np.maximum(nodes[a], nodes[b]))})
+            none, other = pa.nulls(len(a), pa.int64()), pa.nulls(len(nodes), pa.int64())
+            yield pa.record_batch({"a": pa.array(np.minimum(nodes[a], nodes[b])), "b": pa.array(np.maximum(nodes[a], nodes[b])), "key": none, "row": none})
+            yield pa.record_batch({"a": other, "b": other, "key": pa.array(key[several]), "row": pa.array(nodes)})
 
     entries = reps.select("row", "sketches", F.posexplode("keys").alias("k", "key")).select("key", "row", F.get("sketches", F.floor(F.col("k") / BANDS).cast("int")).alias("sketch"))
-    return entries.repartition("key").sortWithinPartitions("key", "sketch", "row").mapInArrow(run, "a long, b long").distinct()
+    found = written(entries.repartition("key").sortWithinPartitions("key", "sketch", "row").mapInArrow(run, "a long, b long, key long, row long"))
+    return found.where("a IS NOT NULL").select("a", "b").distinct(), found.where("key IS NOT NULL").select("key", "row")
 
 
 def wanted(rows: DataFrame, digests: DataFrame) -> DataFrame:
@@ -370,8 +409,9 @@ def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            ok = [near(x, y) for x, y in zip(part.column("ta").to_pylist(), part.column("tb").to_pylist())]
-            yield pa.record_batch({"a": part.column("a").filter(pa.array(ok, pa.bool_())), "b": part.column("b").filter(pa.array(ok, pa.bool_()))})
+            n = part.num_rows
+            ok = pa.array(near_pairs(part.column("ta").to_pylist() + part.column("tb").to_pylist(), np.arange(n), np.arange(n, 2 * n)))
+            yield pa.record_batch({"a": part.column("a").filter(ok), "b": part.column("b").filter(ok)})
 
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(reps.select("row", "digest"), "row"))
     texts = wanted(rows, nodes.select("digest")).groupBy("digest").agg(F.first("text").alias("text"))
@@ -398,43 +438,66 @@ def profiles(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def tasks(reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(task, side, row, root, chars): the rows of buckets that have several groups, in order of length.
+def tasks(members: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(task, side, row, root, chars, size): the rows of buckets that have several groups, in order of length.
 
-    A bucket of more than BLOCK rows gives a task for each two blocks whose lengths may be near; side
-    is null in a block's own task.
+    Buckets with the same most frequent group are taken together, so that two texts meet once however
+    many buckets they share. More than BLOCK rows give a task for each two blocks whose lengths may be
+    near; side is null in a block's own task.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in graph.by_region(batches, "key"):
-            key, row, root, chars = (table.column(c).to_numpy() for c in ("key", "row", "root", "chars"))
+            key, root = table.column("key").to_numpy(), table.column("root").to_numpy()  # sorted by both
+            head = np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1
+            head = np.concatenate([[0], head])
+            count = np.diff(np.append(head, len(key)))
+            order = np.lexsort((root[head], -count, key[head]))
+            first = order[np.concatenate([[True], key[head][order][1:] != key[head][order][:-1]])]  # the most frequent root of each key
+            mixed = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[head][1:] != key[head][:-1]])), len(head))) > 1
+            many = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)))
+            keep = np.repeat(mixed, many)
+            yield pa.record_batch({"lead": pa.array(np.repeat(root[head][first], many)[keep]), **{c: table.column(c).combine_chunks().filter(pa.array(keep)) for c in ("row", "root", "chars")}})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in graph.by_region(batches, "lead"):
+            key, row, root, chars = (table.column(c).to_numpy() for c in ("lead", "row", "root", "chars"))
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(starts[1:], len(key))
-            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-            where, i, j, side = [], [], [], []
-            for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-                blocks = [np.arange(x, min(x + BLOCK, e)) for x in range(s, e, BLOCK)]
+            where, i, j, side, size = [], [], [], [], []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                cuts, room = [s], 0
+                for x in range(s, e):  # a block has so many rows and so many characters at most, or one row
+                    if x > cuts[-1] and (x - cuts[-1] == BLOCK or room + chars[x] > MARKS):
+                        cuts, room = [*cuts, x], 0
+                    room += chars[x]
+                blocks = [np.arange(x, y) for x, y in zip(cuts, [*cuts[1:], e])]
                 for k, one in enumerate(blocks):
                     for m, two in enumerate(blocks[k:], k):
                         if chars[two[0]] - chars[one[-1]] > chars[two[0]] // PART:
                             break  # later blocks hold longer texts
                         at = one if k == m else np.concatenate([one, two])
                         where.append(at)
+                        size.append(np.full(len(at), e - s))
                         i.append(np.full(len(at), k))
                         j.append(np.full(len(at), m))
                         side.append(np.full(len(at), -1) if k == m else np.repeat([0, 1], [len(one), len(two)]))
             if where:
-                at, i, j, side = (np.concatenate(x) for x in (where, i, j, side))
-                yield pa.record_batch({"key": pa.array(key[at]), "i": pa.array(i), "j": pa.array(j), "side": pa.array(side, mask=side < 0), "row": pa.array(row[at]), "root": pa.array(root[at]), "chars": pa.array(chars[at])})
+                at, i, j, side, size = (np.concatenate(x) for x in (where, i, j, side, size))
+                yield pa.record_batch({"lead": pa.array(key[at]), "i": pa.array(i), "j": pa.array(j), "side": pa.array(side, mask=side < 0), "row": pa.array(row[at]), "root": pa.array(root[at]), "chars": pa.array(chars[at]), "size": pa.array(size)})
 
-    known = reps.select("row", "keys", "chars").join(roots.withColumnRenamed("node", "row"), "row", "left")
-    entries = known.select("row", F.coalesce("root", "row").alias("root"), "chars", F.explode("keys").alias("key"))
-    found = entries.repartition("key").sortWithinPartitions("key", "chars", "row").mapInArrow(run, "key long, i long, j long, side long, row long, root long, chars long")
-    return found.select(F.xxhash64("key", "i", "j").alias("task"), "side", "row", "root", "chars")
+    known = members.join(reps.select("row", "chars"), "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"), "chars")
+    led = known.repartition("key").sortWithinPartitions("key", "root", "row").mapInArrow(lead, "lead long, row long, root long, chars long").distinct()
+    found = led.repartition("lead").sortWithinPartitions("lead", "chars", "row").mapInArrow(run, "lead long, i long, j long, side long, row long, root long, chars long, size long")
+    return found.select(F.xxhash64("lead", "i", "j").alias("task"), "side", "row", "root", "chars", "size")
 
 
 def close(held: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): pairs of the tasks' rows of unlike groups that their lengths and profiles let be near; no near pair is left out."""
+    """(a, b, ra, rb, apart, task): pairs of the tasks' rows of unlike groups that their lengths and profiles let be near.
+
+    No near pair is left out. A pair of several tasks is given to that of the most rows, so that
+    few tasks need a text.
+    """
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
@@ -443,11 +506,11 @@ def close(held: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in graph.by_region(batches, "task"):
-            task, row, root, chars = (table.column(c).to_numpy() for c in ("task", "row", "root", "chars"))
+            task, row, root, chars, size = (table.column(c).to_numpy() for c in ("task", "row", "root", "chars", "size"))
             side = table.column("side").fill_null(-1).to_numpy()
             own = np.frombuffer(b"".join(table.column("profile").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
             cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
-            a, b = [], []
+            one, two, apart = [], [], []
             for s, e in zip(cuts, cuts[1:]):
                 for k in range(s, e - 1):  # in order of length
                     most = chars[k + 1 : e] // PART
@@ -455,17 +518,55 @@ def close(held: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
                     for at in range(0, len(ask), BLOCK):
                         which = ask[at : at + BLOCK]
                         other = own[k + 1 + which]
-                        apart_ = (np.maximum(other, own[k]) - np.minimum(other, own[k])).sum(axis=1, dtype=np.int64)
-                        hit = which[apart_ <= 6 * most[which]]
-                        a.append(np.minimum(row[k], row[k + 1 + hit]))
-                        b.append(np.maximum(row[k], row[k + 1 + hit]))
-            if a:
-                yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+                        far = (np.maximum(other, own[k]) - np.minimum(other, own[k])).sum(axis=1, dtype=np.int64)
+                        hit = far <= 6 * most[which]
+                        one.append(np.full(int(hit.sum()), k))
+                        two.append(k + 1 + which[hit])
+                        apart.append(far[hit])
+            if one:
+                one, two, apart = (np.concatenate(x) for x in (one, two, apart))
+                one, two = np.where(row[one] < row[two], one, two), np.where(row[one] < row[two], two, one)
+                yield pa.record_batch({"a": pa.array(row[one]), "b": pa.array(row[two]), "ra": pa.array(root[one]), "rb": pa.array(root[two]), "apart": pa.array(apart), "size": pa.array(size[one]), "task": pa.array(task[one])})
 
     nodes = written(held.select("row").distinct().join(reps.select("row", "digest"), "row"))
     made = wanted(rows, nodes.select("digest")).groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(profile, "digest binary, profile binary")
     known = nodes.join(made, "digest").select("row", "profile")
-    return held.join(known, "row").select("task", "side", "row", "root", "chars", "profile").repartition("task").sortWithinPartitions("task", "chars", "row").mapInArrow(compare, "a long, b long").distinct()
+    found = held.join(known, "row").select("task", "side", "row", "root", "chars", "size", "profile").repartition("task").sortWithinPartitions("task", "chars", "row").mapInArrow(compare, "a long, b long, ra long, rb long, apart long, size long, task long")
+    return found.groupBy("a", "b", "ra", "rb", "apart").agg(F.max(F.struct("size", "task")).alias("t")).select("a", "b", "ra", "rb", "apart", "t.task")
+
+
+def joined(left: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): near pairs of close(), as many as join all texts that they can; a task has the texts of its pairs, once each."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in graph.by_region(batches, "task"):
+            task = table.column("task").to_numpy()
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            for s, e in zip(cuts, cuts[1:]):
+                own = table.slice(s, e - s)
+                held = own.filter(pa.compute.is_valid(own.column("text")))
+                pairs = own.filter(pa.compute.is_null(own.column("text"))).sort_by([("apart", "ascending"), ("a", "ascending"), ("b", "ascending")])
+                number = held.column("a").to_numpy()
+                order = np.argsort(number)
+                a, b, ra, rb = (pairs.column(c).to_numpy() for c in ("a", "b", "ra", "rb"))
+                texts = held.column("text").to_pylist()
+                todo = np.arange(len(a))
+                while len(todo):  # the closest first: what they join need not be asked for
+                    now, todo = todo[:PAIRS], todo[PAIRS:]
+                    at, to = (order[np.searchsorted(number[order], x[now])] for x in (a, b))
+                    hit = now[near_pairs(texts, at, to)]
+                    if len(hit):
+                        yield pa.record_batch({"a": pa.array(a[hit]), "b": pa.array(b[hit])})
+                        same = graph.merged(np.concatenate([ra, rb]), ra[hit], rb[hit])
+                        ra, rb = same[: len(a)], same[len(a) :]
+                        todo = todo[ra[todo] != rb[todo]]
+
+    nodes = written(left.select("task", F.explode(F.array("a", "b")).alias("row")).distinct().join(reps.select("row", "digest"), "row"))
+    texts = wanted(rows, nodes.select("digest")).groupBy("digest").agg(F.first("text").alias("text"))
+    none = F.lit(None).cast("long")
+    both = nodes.join(texts, "digest").select("task", F.col("row").alias("a"), none.alias("b"), none.alias("ra"), none.alias("rb"), none.alias("apart"), "text")
+    both = both.unionByName(left.select("task", "a", "b", "ra", "rb", "apart", F.lit(None).cast("string").alias("text")))
+    return both.repartition("task").sortWithinPartitions("task").mapInArrow(check, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -474,12 +575,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = written(sign(rows))
     folded = signed.groupBy("digest").agg(F.min("row").alias("row"), F.first("chars").alias("chars"), F.first("keys").alias("keys"), F.first("sketches").alias("sketches"))
     reps = written(folded)
-    pairs = written(candidates(reps))
+    first, members = candidates(reps)
+    pairs = written(first)
     edges = written(verified(pairs, reps, rows))
     roots = graph.components(edges)
-    held = written(tasks(reps, roots))
+    held = written(tasks(members, reps, roots))
     left = written(close(held, reps, rows).join(pairs, ["a", "b"], "left_anti"))
-    more = written(verified(left, reps, rows))
+    more = written(joined(left, reps, rows))
     if not more.isEmpty():
         roots = graph.components(edges.unionByName(more))
     placed = reps.select("digest", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("root", "row").alias("root"))

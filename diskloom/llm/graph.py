@@ -114,6 +114,27 @@ def by_region(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tab
         yield pa.concat_tables(held).combine_chunks()
 
 
+def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels after those of each pair (a, b) have become one, the smallest."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    known = np.array(sorted(root), dtype=np.int64)
+    if not len(known):
+        return labels
+    to = np.array([find(x) for x in known.tolist()], dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, labels), len(known) - 1)
+    return np.where(known[at] == labels, to[at], labels)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a long, b long); root is the component's smallest node.
 

@@ -163,7 +163,7 @@ def test_edit_distance():
         a = "".join(r.choice("abc") for _ in range(r.randrange(30)))
         b = edited(r, a or "a", r.randrange(6)) if r.random() < 0.7 else "".join(r.choice("abc") for _ in range(r.randrange(30)))
         most = r.randrange(8)
-        assert fingerprints.distance(a, b, most) == min(naive(a, b), most + 1)
+        assert fingerprints.counted(a, b, most) == min(naive(a, b), most + 1)
 
 
 def test_fingerprint_recall_and_precision(spark):
@@ -209,17 +209,27 @@ def test_long_texts_are_near_by_their_length(spark):
 
 def test_bounds_and_bands_of_the_edit_distance():
     r = random.Random(5)
-    for k in range(400):
-        size = 700 if k % 40 == 0 else 90
+    cases = []
+    for k in range(600):
+        size = 700 if k % 20 == 0 else 90
         a = "".join(r.choice("abc" if k % 3 else "abcdefghijkl ") for _ in range(r.randrange(1, size)))
         b = edited(r, a, r.randrange(60)) if k % 2 else "".join(r.choice("abcd") for _ in range(r.randrange(size)))
         most, true = r.randrange(80), naive(a, b)
-        assert fingerprints.distance(a, b, most) == min(true, most + 1)
-        assert fingerprints.apart(a, b) <= true
-        assert fingerprints.resumed(*sorted((a, b), key=len), most) >= min(true, most + 1)
+        assert fingerprints.counted(a, b, most) == min(true, most + 1)
         x, y = fingerprints.profiles(pa.array([a, b])).astype(int)
         assert abs(x - y).sum() <= 6 * true
         assert fingerprints.near(a, b) == (true <= max(len(a), len(b)) // fingerprints.PART)
+        cases.append((*sorted((a, b), key=len), true))
+    for wide in (1, 2, 3, 4):  # all pairs at once give the same
+        own = [(a, b, t) for a, b, t in cases if len(b) - len(a) < 32 * wide]
+        most = np.array([r.choice([t - 1, t, r.randrange(32 * wide)]) if 0 < t < 32 * wide else r.randrange(32 * wide) for _, _, t in own])
+        texts = [fingerprints._points(t) for a, b, _ in own for t in (a, b)]
+        got = fingerprints._batch(texts, np.arange(len(own)) * 2, np.arange(len(own)) * 2 + 1, most, wide)
+        assert got.tolist() == [t <= m for (_, _, t), m in zip(own, most.tolist())]
+    base = "".join(r.choice("abcdef ") for _ in range(400))
+    texts = [edited(r, base, r.randrange(20)) for _ in range(30)]
+    a, b = np.triu_indices(30, 1)
+    assert fingerprints.near_pairs(texts, b, a).tolist() == [naive(texts[x], texts[y]) <= max(len(texts[x]), len(texts[y])) // 25 for x, y in zip(a, b)]
 
 
 def test_all_pairs_of_a_templated_bucket_are_verified(spark):
