@@ -41,6 +41,8 @@ TABLES = {
 ALTERNATES = _chars("F8F1 6708 706B 6C34 6728 91D1 571F 65E5 5E74 5186 6642 5206 79D2 767E 5343 4E07 3C0 2534 252C 2524 251C 253C 2502 2500 250C 2510 2514 2518 2573 5927 4E2D 5C0F")
 assert all(len(x) == 256 for x in TABLES.values()) and len(ALTERNATES) == 32
 _VOICED, _SEMI = "ﾞ", "ﾟ"
+#: A mark that makes no single letter becomes a combining one, on a composed letter too.
+COMBINING = ((_VOICED, "゙"), (_SEMI, "゚"))
 
 
 def latin(data: Column) -> Column:
@@ -59,19 +61,22 @@ def decode_pc98(data: Column, preserve: str = "minimal") -> Column:
     return _translated(latin(data), PC98, preserve)
 
 
+@lru_cache(maxsize=None)
+def composed() -> list[tuple[str, str]]:
+    """Hiragana with a sound mark behind it, and the single letter that they make."""
+    pairs = [base + mark for base in map(chr, range(0x3041, 0x3097)) for mark in (_VOICED, _SEMI)]
+    return [(pair, whole) for pair in pairs if len(whole := unicodedata.normalize("NFKC", pair)) == 1]
+
+
 def decode_pc6001(data: Column, preserve: str = "minimal") -> Column:
     """As decode_pc98(), then alternates after a raw 14 and sound marks on hiragana."""
     text = latin(data)
     for k, char in enumerate(ALTERNATES):
         text = F.replace(text, F.lit("\x14" + chr(0x30 + k)), F.lit(char))
     text = _translated(text, PC6001, preserve)
-    for base in map(chr, range(0x3041, 0x3097)):
-        for mark in (_VOICED, _SEMI):
-            pair = unicodedata.normalize("NFKC", base + mark)
-            if len(pair) == 1:
-                text = F.replace(text, F.lit(base + mark), F.lit(pair))
-    # a mark that makes no single letter becomes a combining one, on a composed letter too
-    for mark, combining in ((_VOICED, "゙"), (_SEMI, "゚")):
+    for pair, whole in composed():
+        text = F.replace(text, F.lit(pair), F.lit(whole))
+    for mark, combining in COMBINING:
         text = F.regexp_replace(text, f"([ぁ-ゖ]){mark}", f"$1{combining}")
     return text
 
@@ -135,7 +140,10 @@ def encode_fast(text: Column, charset: str) -> Column:
 
 
 def encode(text: Column, charset: str, try_harder: bool = True, errors: str = "null") -> Column:
-    """Bytes of a text column; with errors="raise" text that can't be encoded fails the query."""
+    """Bytes of a text column; with errors="raise" text that can't be encoded fails the query.
+
+    What the first set's table holds as it is stays in the JVM: Python is given nulls for it.
+    """
 
     @F.pandas_udf("binary")
     def run(column: pd.Series) -> pd.Series:
@@ -147,7 +155,10 @@ def encode(text: Column, charset: str, try_harder: bool = True, errors: str = "n
                     raise ValueError(f"no {charset} bytes for U+{ord(x[at]):04X} at {at}")
         return pd.Series(out, dtype=object)
 
-    return run(text)
+    if charset != PC98:  # of the second set some characters of the table have alternates
+        return run(text)
+    fast = encode_fast(text, charset)
+    return F.coalesce(fast, run(F.when(fast.isNull(), text)))
 
 
 def decode_bytes(data: bytes, charset: str, preserve: str = "minimal") -> str:

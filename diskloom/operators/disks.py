@@ -47,151 +47,75 @@ def _ok(value: Column) -> Column:
 
 def geometry(disks: DataFrame) -> DataFrame:
     """Checks the walks, keeps the last walk of each track and side, and measures what is there."""
-    s = F.col("sectors")
+    track, walk = "bigint(s.track) * 65536 + s.side", "bigint(s.table_pos) * 65536"
 
-    def number(x: Column, *names: str) -> Column:
-        out = F.lit(0).cast("bigint")
-        for n in names:
-            out = out * 65536 + x[n]
-        return out
+    def kinds(number: str) -> str:
+        return f"size(array_distinct(transform(sectors, s -> {number})))"  # longs are told apart by hash, structs one by one
 
-    def distinct(*names: str) -> Column:
-        return F.size(F.array_distinct(F.transform(s, lambda x: number(x, *names))))  # longs are told apart by hash, structs one by one
-
-    ranges = F.array_sort(F.transform(s, lambda x: F.struct(x["data_offset"].alias("a"), (x["data_offset"] + F.octet_length(x["data"])).alias("b"))))
-    swept = F.aggregate(ranges, F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(False).alias("bad")), lambda t, r: F.struct(r["b"].alias("end"), (t["bad"] | (r["a"] < t["end"])).alias("bad")))
+    swept = "aggregate(array_sort(transform(sectors, s -> struct(s.data_offset AS a, s.data_offset + octet_length(s.data) AS b))), struct(0L AS end, false AS bad), (t, r) -> struct(r.b AS end, t.bad OR r.a < t.end AS bad)).bad"
     checked = _guard(
         disks,
-        _fail(distinct("table_pos", "sec_num") < F.size(s), "a sector appears more than once in a track"),
-        _fail(distinct("track", "side", "sectors_in_track") > distinct("track", "side"), "sectors per track varies"),
-        _fail(swept["bad"], "found overlapping sector data"),
-    )
-    keys = F.array_distinct(F.transform(s, lambda x: number(x, "table_pos", "track", "side")))
-    walks = F.transform(keys, lambda k: F.struct(F.shiftright(k, 32).cast("int").alias("p"), (k % F.lit(1 << 32)).alias("t")))
-    last = let(walks, lambda w: F.transform(F.filter(w, lambda x: ~F.exists(w, lambda y: (y["t"] == x["t"]) & (y["p"] > x["p"]))), lambda x: x["p"]))
-    kept = _with(checked, "sectors", let(last, lambda p: F.filter(s, lambda x: F.array_contains(p, x["table_pos"]))))
-
-    def most(name: str) -> Column:
-        return F.coalesce(F.array_max(F.transform(s, lambda x: x[name])), F.lit(-1))
-
-    sizes = F.transform(s, lambda x: F.octet_length(x["data"]))
-    found = F.struct(
-        (most("track") + 1).alias("tracks"),
-        F.greatest(F.lit(1), most("side") + 1).alias("sides"),
-        F.greatest(F.lit(0), most("sec_num")).alias("sectors"),
-        F.size(s).alias("total_sectors"),
-        F.aggregate(sizes, F.lit(0).cast("bigint"), lambda t, n: t + n).alias("disk_size"),
-        F.coalesce(F.array_max(sizes), F.lit(0)).alias("largest_sector"),
+        _fail(F.expr(f"{kinds(walk + ' + s.sec_num')} < size(sectors)"), "a sector appears more than once in a track"),
+        _fail(F.expr(f"{kinds(f'({track}) * 65536 + s.sectors_in_track')} > {kinds(track)}"), "sectors per track varies"),
+        _fail(F.expr(swept), "found overlapping sector data"),
     )
-    return _with(kept, "found", _ok(found))
+    walks = f"transform(array_distinct(transform(sectors, s -> ({walk}) * 65536 + {track})), k -> struct(int(shiftright(k, 32)) AS p, k % 4294967296 AS t))"
+    last = f"transform(array({walks}), w -> transform(filter(w, x -> NOT exists(w, y -> y.t = x.t AND y.p > x.p)), x -> x.p))"
+    kept = _with(checked, "sectors", F.expr(f"transform({last}, p -> filter(sectors, s -> array_contains(p, s.table_pos)))[0]"))
+    sizes = "transform(sectors, s -> octet_length(s.data))"
+    most = lambda name: f"coalesce(array_max(transform(sectors, s -> s.{name})), -1)"
+    found = f"struct({most('track')} + 1 AS tracks, greatest(1, {most('side')} + 1) AS sides, greatest(0, {most('sec_num')}) AS sectors, size(sectors) AS total_sectors, aggregate({sizes}, 0L, (t, n) -> t + n) AS disk_size, coalesce(array_max({sizes}), 0) AS largest_sector)"
+    return _with(kept, "found", _ok(F.expr(found)))
+
 
+def _starts(boot: str, *heads: bytes) -> str:
+    return "(" + " OR ".join(f"startswith({boot}, X'{x.hex()}')" for x in heads) + ")"
 
-def hint_score(boot: Column, hint: Column) -> Column:
-    """How many of a known format's hints the boot sector meets."""
-    def starts(*heads: bytes) -> Column:
-        out = F.lit(False)
-        for x in heads:
-            out = out | boot.startswith(F.lit(bytearray(x)))
-        return out
 
-    size = F.octet_length(boot)
-    met = F.when(hint == "len=128", size == 128).when(hint == "len<>128", size != 128).when(hint == "SYS", starts(b"SYS")).when(hint == "IPL|RXR", starts(b"IPL", b"RXR")).when(hint == "0000", starts(b"\0\0\0\0"))
-    return F.coalesce(met.cast("int"), F.lit(0))
+def _text(value: object) -> str:
+    return "CAST(NULL AS STRING)" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
 
 
-def _known() -> Column:
-    return F.array(*[F.struct(*[(F.lit(v) if v is not None else F.lit(None).cast("string")).alias(k) for k, v in row._asdict().items()]) for row in KNOWN])
+_KNOWN_SQL = "array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {_text(v)}" for k, v in row._asdict().items()) + ")" for row in KNOWN) + ")"
 
 
-def known_format(tracks: Column, sides: Column, sectors: Column, boot: Column) -> Column:
-    """The known format with this geometry whose hints fit best; of equals the first listed."""
-    fits = F.filter(_known(), lambda k: (k["tracks"] == tracks) & (k["sides"] == sides) & (k["sectors"] == sectors))
-    return F.array_max(F.transform(fits, lambda k: F.struct(hint_score(boot, k["hint"]).alias("score"), (-k["ordinal"]).alias("first"), k.alias("k"))))["k"]
+def known_format(tracks: str, sides: str, sectors: str, boot: str) -> Column:
+    """The known format with this geometry whose hints fit best, all given as SQL; of equals the first listed."""
+    met = f"CASE k.hint WHEN 'len=128' THEN octet_length({boot}) = 128 WHEN 'len<>128' THEN octet_length({boot}) <> 128 WHEN 'SYS' THEN {_starts(boot, b'SYS')} WHEN 'IPL|RXR' THEN {_starts(boot, b'IPL', b'RXR')} WHEN '0000' THEN {_starts(boot, bytes(4))} END"
+    fits = f"filter({_KNOWN_SQL}, k -> k.tracks = {tracks} AND k.sides = {sides} AND k.sectors = {sectors})"
+    return F.expr(f"array_max(transform({fits}, k -> struct(coalesce(int({met}), 0) AS score, -k.ordinal AS first, k AS k))).k")
 
 
 def formats(disks: DataFrame) -> DataFrame:
-    """The format of each disk: guessed from its boot sector and size, then overridden by a known one."""
-    s = F.col("sectors")
-    low = F.filter(s, lambda x: x["track"].isin(0, 1))
-    front = F.filter(low, lambda x: x["side"] == 0)
-    boot = F.get(F.filter(s, lambda x: (x["track"] == 0) & (x["side"] == 0) & (x["sec_num"] == 1)), F.lit(0))["data"]
-    first = F.struct(
-        boot.alias("boot"),
-        F.array_max(F.transform(front, lambda x: x["sectors_in_track"])).alias("spt"),
-        (F.array_max(F.transform(low, lambda x: x["side"])) + 1).alias("sides"),
-        F.array_max(F.transform(front, lambda x: F.octet_length(x["data"]))).alias("size"),
-    )
-    df = _guard(_with(disks, "n", _ok(first)), _fail(F.col("fatal").isNull() & F.col("n.spt").isNull(), "no sectors on side 0 of tracks 0 and 1"))
-    halved = F.aggregate(
-        F.sequence(F.lit(1), F.lit(24)),
-        F.struct(F.col("n.size").alias("size"), F.col("n.spt").alias("spt"), F.lit(0).alias("shift")),
-        lambda v, _: F.when((v["size"] > 256) & (v["spt"] < 16), F.struct(F.shiftright(v["size"], 1).alias("size"), F.shiftleft(v["spt"], 1).alias("spt"), (v["shift"] + 1).alias("shift"))).otherwise(v),
-    )
-    df = _with(df, "v", _ok(halved))
-    b, sides = F.col("n.boot"), F.col("n.sides")
-
-    def starts(*heads: bytes) -> Column:
-        return F.coalesce(F.greatest(*[b.startswith(F.lit(bytearray(x))) for x in heads], F.lit(False)), F.lit(False))
-
-    flags = F.struct(starts(b"RXR", b"IPL").alias("rxr"), starts(b"SYS").alias("sys"), F.coalesce(F.octet_length(b) == 128, F.lit(False)).alias("pc98"), starts(b"\0\0\0\0").alias("lsb"))
-    df = _with(df, "is", flags)
-    small = F.col("is.sys") | F.col("is.rxr") | (sides == 1)
-    disk = F.col("found.tracks").cast("bigint") * sides * F.col("v.spt") * F.col("v.size")
-    per_track = F.col("v.spt") * F.col("v.size")
-    estimate = F.expr("0") + F.ceil(disk / MAX_CLUSTERS)
-    guess = F.struct(
-        F.when(F.col("is.rxr"), 0x4A).when(F.col("is.sys") | (sides == 1), 0x24).when(F.col("is.pc98"), 0x46).otherwise(0x4A).alias("first"),
-        F.when(small, PC6001).otherwise(PC98).alias("charset"),
-        F.when(F.col("is.lsb") | small, F.lit(None).cast("string")).when(F.col("is.pc98"), "pc98").otherwise("pc88").alias("obfuscation"),
-        disk.alias("disk"),
-        per_track.alias("per_track"),
-        F.least(F.lit(2), F.floor(F.try_divide(per_track, estimate))).cast("int").alias("cpt"),
-    )
-    df = _with(df, "g", _ok(guess))
-    df = _guard(df, _fail(F.col("fatal").isNull() & (F.coalesce(F.col("g.cpt"), F.lit(0)) == 0), "more tracks than clusters: no cluster fits a track"))
-    df = _with(df, "k", _ok(known_format(F.col("found.tracks"), sides, F.col("v.spt"), b)))
-    known = F.col("k").isNotNull()
-
-    def either(name: str, guessed: Column) -> Column:
-        return F.when(known, F.col(f"k.{name}")).otherwise(guessed)
-
-    cpt = F.col("g.cpt")
-    clusters = F.expr("g.first div g.cpt")
-    track_map = F.create_map(*[F.lit(x) for pair in ((36, 35), (41, 40), (78, 77), (81, 80)) for x in pair])
-    title = F.when(F.col("is.lsb"), "Pasopia").when(F.col("is.rxr"), "PC-6001 mkII SR/6601 SR").when(F.col("is.sys") | (sides == 1), "N60/PC-6001/mkII/6601").when(F.col("is.pc98"), "PC98").otherwise("N80/PC88")
-    unknown = F.format_string("Unknown format [%s-like, %d-sided, %d-track, %d-sectored, %d-byte sectors]", title, sides, F.col("found.tracks"), F.col("v.spt"), F.col("v.size"))
-    step = F.struct(
-        either("name", unknown).alias("name"),
-        F.coalesce(F.col("k.ordinal"), F.lit(0)).alias("known"),
-        either("charset", F.col("g.charset")).alias("charset"),
-        either("obfuscation", F.col("g.obfuscation")).alias("obfuscation"),
-        either("metadata_track", F.expr("g.first div g.cpt div n.sides").cast("int")).alias("metadata_track"),
-        either("metadata_side", (clusters % sides).cast("int")).alias("metadata_side"),
-        either("clusters_per_track", cpt).alias("cpt"),
-        either("side_is_cluster_lsb", F.col("is.lsb")).alias("lsb"),
-        F.when(known, F.col("k.fat_tracks")).otherwise(F.coalesce(F.try_element_at(track_map, F.col("found.tracks")), F.col("found.tracks"))).alias("tracks"),
-        F.when(known, F.col("k.fat_tracks") * sides * F.col("k.clusters_per_track")).otherwise(F.col("found.tracks") * sides * cpt).alias("total_clusters"),
-        F.when(known, (F.col("k.metadata_track") * sides + F.col("k.metadata_side")) * F.col("k.clusters_per_track")).otherwise(F.col("g.first")).alias("first_metadata_cluster"),
-    )
-    df = _with(df, "f", _ok(step))
-    spc = F.expr("v.spt div f.cpt").cast("int")
-    from_lsb = F.col("f.metadata_track") * F.col("f.cpt") * sides + F.col("f.metadata_side")
-    plain = (F.col("f.metadata_track") * sides + F.col("f.metadata_side")) * F.col("f.cpt")
-    meta = F.when(F.col("f.lsb"), F.sequence(from_lsb, from_lsb + (F.col("f.cpt") - 1) * sides, sides)).otherwise(F.sequence(plain, plain + F.col("f.cpt") - 1))
-    spt = F.col("v.spt")
-    whole = F.struct(
-        "f.*",
-        F.col("n.boot").alias("boot"),
-        F.col("is.sys").alias("is_pc66_sys"), F.col("is.rxr").alias("is_pc66sr_rxr"), F.col("is.pc98").alias("is_pc98_sys"),
-        sides.alias("sides"), spt.alias("spt"), F.col("v.size").alias("sector_size"), F.col("v.shift").alias("shift"),
-        F.col("g.disk").alias("disk_size"), F.col("g.per_track").alias("bytes_per_track"),
-        spc.alias("sectors_per_cluster"), (spc * F.col("v.size")).alias("bytes_per_cluster"),
-        F.sequence(spt - 2, spt).alias("fat_vsecs"), (spt - 3).alias("autorun_vsec"),
-        F.when(spt > 4, F.sequence(F.lit(1), spt - 4)).otherwise(F.array().cast("array<int>")).alias("dir_vsecs"),
-        meta.alias("metadata_clusters"),
-    )
-    df = _with(df, "format", _ok(whole))
-    df = _guard(df, _fail(F.get("format.metadata_clusters", F.lit(0)) != F.col("format.first_metadata_cluster"), "the metadata clusters don't begin where the format has them"))
+    """The format of each disk: guessed from its boot sector and size, then overridden by a known one.
+
+    The expressions are SQL text, which is parsed once a step; built call by call they would cost seconds.
+    """
+    low, front = "filter(sectors, s -> s.track IN (0, 1))", "filter(sectors, s -> s.track IN (0, 1) AND s.side = 0)"
+    first = f"""struct(get(filter(sectors, s -> s.track = 0 AND s.side = 0 AND s.sec_num = 1), 0).data AS boot, array_max(transform({front}, s -> s.sectors_in_track)) AS spt,
+      array_max(transform({low}, s -> s.side)) + 1 AS sides, array_max(transform({front}, s -> octet_length(s.data))) AS size)"""
+    df = _guard(_with(disks, "n", _ok(F.expr(first))), _fail(F.expr("fatal IS NULL AND n.spt IS NULL"), "no sectors on side 0 of tracks 0 and 1"))
+    df = _with(df, "v", _ok(F.expr("aggregate(sequence(1, 24), struct(n.size AS size, n.spt AS spt, 0 AS shift), (v, i) -> CASE WHEN v.size > 256 AND v.spt < 16 THEN struct(shiftright(v.size, 1) AS size, shiftleft(v.spt, 1) AS spt, v.shift + 1 AS shift) ELSE v END)")))
+    df = _with(df, "is", F.expr(f"struct(coalesce({_starts('n.boot', b'RXR', b'IPL')}, false) AS rxr, coalesce({_starts('n.boot', b'SYS')}, false) AS sys, coalesce(octet_length(n.boot) = 128, false) AS pc98, coalesce({_starts('n.boot', bytes(4))}, false) AS lsb)"))
+    small, disk = "(is.sys OR is.rxr OR n.sides = 1)", "bigint(found.tracks) * n.sides * v.spt * v.size"
+    df = _with(df, "g", _ok(F.expr(f"""struct(CASE WHEN is.rxr THEN 74 WHEN is.sys OR n.sides = 1 THEN 36 WHEN is.pc98 THEN 70 ELSE 74 END AS first, CASE WHEN {small} THEN '{PC6001}' ELSE '{PC98}' END AS charset,
+      CASE WHEN is.lsb OR {small} THEN NULL WHEN is.pc98 THEN 'pc98' ELSE 'pc88' END AS obfuscation, {disk} AS disk, v.spt * v.size AS per_track,
+      int(least(2, floor(try_divide(v.spt * v.size, ceil({disk} / {MAX_CLUSTERS}))))) AS cpt)""")))
+    df = _guard(df, _fail(F.expr("fatal IS NULL AND coalesce(g.cpt, 0) = 0"), "more tracks than clusters: no cluster fits a track"))
+    df = _with(df, "k", _ok(known_format("found.tracks", "n.sides", "v.spt", "n.boot")))
+    title = "CASE WHEN is.lsb THEN 'Pasopia' WHEN is.rxr THEN 'PC-6001 mkII SR/6601 SR' WHEN is.sys OR n.sides = 1 THEN 'N60/PC-6001/mkII/6601' WHEN is.pc98 THEN 'PC98' ELSE 'N80/PC88' END"
+    either = lambda name, guessed: f"CASE WHEN k IS NOT NULL THEN k.{name} ELSE {guessed} END"
+    unknown = f"format_string('Unknown format [%s-like, %d-sided, %d-track, %d-sectored, %d-byte sectors]', {title}, n.sides, found.tracks, v.spt, v.size)"
+    df = _with(df, "f", _ok(F.expr(f"""struct({either('name', unknown)} AS name, coalesce(k.ordinal, 0) AS known, {either('charset', 'g.charset')} AS charset, {either('obfuscation', 'g.obfuscation')} AS obfuscation,
+      {either('metadata_track', 'int(g.first div g.cpt div n.sides)')} AS metadata_track, {either('metadata_side', 'int((g.first div g.cpt) % n.sides)')} AS metadata_side, {either('clusters_per_track', 'g.cpt')} AS cpt,
+      {either('side_is_cluster_lsb', 'is.lsb')} AS lsb, {either('fat_tracks', 'coalesce(try_element_at(map(36, 35, 41, 40, 78, 77, 81, 80), found.tracks), found.tracks)')} AS tracks,
+      CASE WHEN k IS NOT NULL THEN k.fat_tracks * n.sides * k.clusters_per_track ELSE found.tracks * n.sides * g.cpt END AS total_clusters,
+      CASE WHEN k IS NOT NULL THEN (k.metadata_track * n.sides + k.metadata_side) * k.clusters_per_track ELSE g.first END AS first_metadata_cluster)""")))
+    spc, beside, plain = "int(v.spt div f.cpt)", "f.metadata_track * f.cpt * n.sides + f.metadata_side", "(f.metadata_track * n.sides + f.metadata_side) * f.cpt"
+    df = _with(df, "format", _ok(F.expr(f"""struct(f.*, n.boot AS boot, is.sys AS is_pc66_sys, is.rxr AS is_pc66sr_rxr, is.pc98 AS is_pc98_sys, n.sides AS sides, v.spt AS spt, v.size AS sector_size, v.shift AS shift, g.disk AS disk_size, g.per_track AS bytes_per_track,
+      {spc} AS sectors_per_cluster, {spc} * v.size AS bytes_per_cluster, sequence(v.spt - 2, v.spt) AS fat_vsecs, v.spt - 3 AS autorun_vsec, CASE WHEN v.spt > 4 THEN sequence(1, v.spt - 4) ELSE cast(array() AS array<int>) END AS dir_vsecs,
+      CASE WHEN f.lsb THEN sequence({beside}, {beside} + (f.cpt - 1) * n.sides, n.sides) ELSE sequence({plain}, {plain} + f.cpt - 1) END AS metadata_clusters)""")))
+    df = _guard(df, _fail(F.expr("get(format.metadata_clusters, 0) <> format.first_metadata_cluster"), "the metadata clusters don't begin where the format has them"))
     return df.drop("n", "v", "is", "g", "k", "f")
 
 

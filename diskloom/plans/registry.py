@@ -211,8 +211,8 @@ def known_format_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.get(F.array(*map(F.lit, _HEADS)), F.expr("cast(o_orderkey div 10 % 4 as int)"))
     boot = F.encode(F.rpad(head, 256, "x"), "US-ASCII")
     boot = F.when(F.expr("o_orderkey div 40 % 2 = 0"), F.substring(boot, 1, 128)).otherwise(boot)
-    found = disks.known_format(F.col("t.col1"), F.col("t.col2"), F.col("t.col3"), boot)
-    return rows.select("o_orderkey", F.coalesce(found["ordinal"], F.lit(0)).alias("known"))
+    found = disks.known_format("t.col1", "t.col2", "t.col3", "boot")
+    return rows.withColumn("boot", boot).select("o_orderkey", F.coalesce(found["ordinal"], F.lit(0)).alias("known"))
 
 
 @query("SELECT m::BIGINT AS mask, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN m & {bit} <> 0 THEN {_literal(name)} END" for bit, name in names.ATTRIBUTES.items()) + "], lambda x: x IS NOT NULL)), ',') AS attrs FROM range(1024) AS t(m)")

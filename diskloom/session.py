@@ -29,36 +29,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: character sets, obfuscation, pictures, and the d88_sectors table function."""
+    """SQL functions: character sets, obfuscation, pictures, and the d88_sectors table function.
+
+    Decoding and obfuscation have SQL bodies and stay in the JVM; encoding needs a Unicode normaliser.
+    """
     import pandas as pd
     from pyspark.sql import functions as F
 
     from .functions import charset, obfuscation, pictures
     from .sources import d88
 
-    def binary(change):
-        return F.pandas_udf(lambda column: pd.Series([None if x is None else change(bytes(x)) for x in column], dtype=object), "binary")
-
-    def text(charset_name: str):
-        def change(data: bytes) -> str:
-            return charset.decode_bytes(data, charset_name)
-
-        return F.pandas_udf(lambda column: pd.Series([None if x is None else change(bytes(x)) for x in column], dtype=object), "string")
-
-    def keyed(method: str, forward: bool):
-        take, give = (13, 11) if forward else (11, 13)
+    def text(value: str) -> str:
+        return f"decode(X'{value.encode().hex()}', 'UTF-8')"
+
+    def translated(value: str, source: str, target: str) -> str:
+        return f"translate({value}, {text(source)}, {text(target)})"
+
+    def function(name: str, kind: str, body: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(b BINARY) RETURNS {kind} RETURN {body}")
+
+    def decoded(kind: str) -> str:
+        kept = charset.PRESERVE["minimal"]
+        codes = [b for b in range(256) if b not in kept]
+        out = "decode(b, 'ISO-8859-1')"
+        for k, char in enumerate(charset.ALTERNATES) if kind == charset.PC6001 else ():
+            out = f"replace({out}, {text(chr(0x14) + chr(0x30 + k))}, {text(char)})"
+        out = translated(out, "".join(map(chr, codes)), "".join(charset.TABLES[kind][c] for c in codes))
+        if kind == charset.PC6001:
+            for pair, whole in charset.composed():
+                out = f"replace({out}, {text(pair)}, {text(whole)})"
+            for mark, combining in charset.COMBINING:
+                out = f"regexp_replace({out}, {text('([ぁ-ゖ])' + mark)}, {text('$1' + combining)})"
+        return out
+
+    def keyed(method: str, forward: bool) -> str:
         if method == obfuscation.PC98:
-            turn = bytes((b << 7 & 255 | b >> 1) if forward else (b << 1 & 255 | b >> 7) for b in range(256))
-            return lambda data: data.translate(turn)
-        key = obfuscation.KEYS[method]
-        return lambda data: bytes((give - i % give + ((b - take + i % take & 255) ^ key[i % 143])) & 255 for i, b in enumerate(data))
+            source, target = (obfuscation._ROTATED, obfuscation._PLAIN) if forward else (obfuscation._PLAIN, obfuscation._ROTATED)
+            return f"encode({translated("decode(b, 'ISO-8859-1')", source, target)}, 'ISO-8859-1')"
+        take, give = (13, 11) if forward else (11, 13)
+        key = f"array({', '.join(map(str, obfuscation.KEYS[method]))})"
+        each = f"chr(pmod({give} - i % {give} + (pmod(ascii(c) - ({take} - i % {take}), 256) ^ get({key}, i % 143)), 256))"
+        return f"CASE WHEN octet_length(b) = 0 THEN X'' ELSE encode(array_join(transform(split(decode(b, 'ISO-8859-1'), ''), (c, i) -> {each}), ''), 'ISO-8859-1') END"
 
     for name, kind in (("pc98", charset.PC98), ("pc6001", charset.PC6001)):
-        spark.udf.register(f"decode_{name}", text(kind))
+        function(f"decode_{name}", "STRING", decoded(kind))
         spark.udf.register(f"encode_{name}", F.pandas_udf(lambda column, k=kind: pd.Series([None if x is None else charset.encode_text(x, k) for x in column], dtype=object), "binary"))
     for method in (obfuscation.PC98, *obfuscation.KEYS):
-        spark.udf.register(f"obfuscate_{method}", binary(keyed(method, True)))
-        spark.udf.register(f"deobfuscate_{method}", binary(keyed(method, False)))
+        function(f"obfuscate_{method}", "BINARY", keyed(method, True))
+        function(f"deobfuscate_{method}", "BINARY", keyed(method, False))
     spark.udf.register("rbyte_decode", pictures._decoder(pictures.decode_rbyte))
     spark.udf.register("rbyte88_decode", pictures._decoder(pictures.decode_rbyte88))
 

@@ -53,7 +53,7 @@ def read_header(data: bytes) -> dict:
         elif not tracks:
             raise Malformed("the first entry of the track table is empty")
         at += ENTRY
-    return {"disk_name": data[:16].rstrip(b"\0") or None, "disk_attrs": ["DiskWriteProtected"] if data[0x1A] & 0x10 else [], "protection_flag": data[0x1A], "media_flag": data[0x1B], "disk_sz": size, "track_offsets": tracks}
+    return {"disk_name": bytes(data[:16]).rstrip(b"\0") or None, "disk_attrs": ["DiskWriteProtected"] if data[0x1A] & 0x10 else [], "protection_flag": data[0x1A], "media_flag": data[0x1B], "disk_sz": size, "track_offsets": tracks}
 
 
 def walk(data: bytes, size: int, tracks: list[int]) -> list[dict]:
@@ -62,19 +62,19 @@ def walk(data: bytes, size: int, tracks: list[int]) -> list[dict]:
     for position, at in enumerate(tracks):
         start, number = at, 0
         while at + HEADER <= size and data[at : at + 2] == data[start : start + 2]:
-            header = data[at : at + HEADER]
+            header = bytes(data[at : at + HEADER])
             begin = at + HEADER
             at = begin + (128 << min(header[3], LARGEST_CODE))
             if at > size:
                 raise Malformed("sector data spilled off the end")
-            out.append({"table_pos": position, "track": header[0], "side": header[1], "slice_idx": number, "sec_num": header[2], "sectors_in_track": header[4] | header[5] << 8, "data_offset": begin, "header": header, "data": data[begin:at]})
+            out.append({"table_pos": position, "track": header[0], "side": header[1], "slice_idx": number, "sec_num": header[2], "sectors_in_track": header[4] | header[5] << 8, "data_offset": begin, "header": header, "data": bytes(data[begin:at])})
             number += 1
     return out
 
 
 def disks_of(path: str | None, content: bytes | None) -> Iterator[dict]:
     """A row for each disk of a file, up to the first that can't be read."""
-    left, number = content or b"", 1
+    left, number = memoryview(content or b""), 1  # a view: what is behind a disk is not copied
     while left or number == 1:
         row: dict = {"path": path, "disk_idx": number}
         try:
