@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that a worker turns into arrays at a time; bounds memory, not results.
 CHUNK_CHARS = 2_000_000
-
-
+#: Whether an execution's shuffles are removed as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables made by written() and not removed yet: path, and the JVM that can remove it.
 _tables: dict[str, tuple] = {}
 
@@ -38,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
-    It stays until forget() or the end of the driver.
+    It stays until forget() or the end of the driver. The shuffles that made it are removed at once:
+    nothing reads them again, while the driver's own cleaning waits for its garbage collector.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -46,7 +47,12 @@ def written(df: DataFrame) -> DataFrame:
         atexit.unregister(forget_all)
         atexit.register(forget_all)  # last registered, so first called: the JVM is still there
     _tables[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_path = path
     return back

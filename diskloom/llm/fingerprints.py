@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import chunks, code_points, digest, list_array, mix64, ragged_arange, written
+from .common import chunks, code_points, digest, forget, list_array, mix64, ragged_arange, written
 
 #: Near texts have an edit distance of one PART-th of the longer one at most.
 PART = 25
@@ -370,8 +370,8 @@ def sign(rows: DataFrame) -> DataFrame:
     return held.mapInArrow(run, f"row long, doc_id {kind}, digest binary, chars long, keys array<long>, sketches array<binary>, print binary")
 
 
-def candidates(reps: DataFrame, least: int = SKETCH // 4) -> tuple[DataFrame, DataFrame]:
-    """Of (row, keys, sketches): (a, b) row pairs to verify first, and (key, row) of the buckets of several rows."""
+def candidates(reps: DataFrame, least: int = SKETCH // 4) -> DataFrame:
+    """Of (row, keys, sketches): (a, b) row pairs to verify first, and (key, row) of the buckets of several rows; one of the two is null. A written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in graph.by_region(batches, "key"):
@@ -391,8 +391,7 @@ def candidates(reps: DataFrame, least: int = SKETCH // 4) -> tuple[DataFrame, Da
             yield pa.record_batch({"a": other, "b": other, "key": pa.array(key[several]), "row": pa.array(nodes)})
 
     entries = reps.select("row", "sketches", F.posexplode("keys").alias("k", "key")).select("key", "row", F.get("sketches", F.floor(F.col("k") / BANDS).cast("int")).alias("sketch"))
-    found = written(entries.repartition("key").sortWithinPartitions("key", "sketch", "row").mapInArrow(run, "a long, b long, key long, row long"))
-    return found.where("a IS NOT NULL").select("a", "b").distinct(), found.where("key IS NOT NULL").select("key", "row")
+    return written(entries.repartition("key").sortWithinPartitions("key", "sketch", "row").mapInArrow(run, "a long, b long, key long, row long"))
 
 
 def wanted(rows: DataFrame, digests: DataFrame) -> DataFrame:
@@ -405,7 +404,7 @@ def wanted(rows: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are near by exact edit distance."""
+    """The pairs (a, b) whose texts are near by exact edit distance, as a written table."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -417,7 +416,9 @@ def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     texts = wanted(rows, nodes.select("digest")).groupBy("digest").agg(F.first("text").alias("text"))
     named = nodes.join(texts, "digest").select("row", "text")
     held = pairs.join(named.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a").join(named.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
-    return held.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    out = written(held.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
+    forget(nodes)
+    return out
 
 
 def profiles(texts: pa.Array) -> np.ndarray:
@@ -492,10 +493,10 @@ def tasks(members: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     return found.select(F.xxhash64("lead", "i", "j").alias("task"), "side", "row", "root", "chars", "size")
 
 
-def close(held: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, ra, rb, apart, task): pairs of the tasks' rows of unlike groups that their lengths and profiles let be near.
+def close(held: DataFrame, pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, ra, rb, apart, task): pairs of the tasks' rows of unlike groups that their lengths and profiles let be near, as a written table.
 
-    No near pair is left out. A pair of several tasks is given to that of the most rows, so that
+    No near pair is left out but those of ``pairs``, whose distances are known. A pair of several tasks is given to that of the most rows, so that
     few tasks need a text.
     """
 
@@ -532,11 +533,14 @@ def close(held: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     made = wanted(rows, nodes.select("digest")).groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(profile, "digest binary, profile binary")
     known = nodes.join(made, "digest").select("row", "profile")
     found = held.join(known, "row").select("task", "side", "row", "root", "chars", "size", "profile").repartition("task").sortWithinPartitions("task", "chars", "row").mapInArrow(compare, "a long, b long, ra long, rb long, apart long, size long, task long")
-    return found.groupBy("a", "b", "ra", "rb", "apart").agg(F.max(F.struct("size", "task")).alias("t")).select("a", "b", "ra", "rb", "apart", "t.task")
+    once = found.groupBy("a", "b", "ra", "rb", "apart").agg(F.max(F.struct("size", "task")).alias("t")).select("a", "b", "ra", "rb", "apart", "t.task")
+    out = written(once.join(pairs, ["a", "b"], "left_anti"))
+    forget(nodes)
+    return out
 
 
 def joined(left: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): near pairs of close(), as many as join all texts that they can; a task has the texts of its pairs, once each."""
+    """(a, b): near pairs of close(), as many as join all texts that they can, as a written table; a task has the texts of its pairs, once each."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in graph.by_region(batches, "task"):
@@ -566,7 +570,9 @@ def joined(left: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     both = nodes.join(texts, "digest").select("task", F.col("row").alias("a"), none.alias("b"), none.alias("ra"), none.alias("rb"), none.alias("apart"), "text")
     both = both.unionByName(left.select("task", "a", "b", "ra", "rb", "apart", F.lit(None).cast("string").alias("text")))
-    return both.repartition("task").sortWithinPartitions("task").mapInArrow(check, "a long, b long")
+    out = written(both.repartition("task").sortWithinPartitions("task").mapInArrow(check, "a long, b long"))
+    forget(nodes)
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -575,15 +581,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = written(sign(rows))
     folded = signed.groupBy("digest").agg(F.min("row").alias("row"), F.first("chars").alias("chars"), F.first("keys").alias("keys"), F.first("sketches").alias("sketches"))
     reps = written(folded)
-    first, members = candidates(reps)
-    pairs = written(first)
-    edges = written(verified(pairs, reps, rows))
+    found = candidates(reps)
+    pairs = written(found.where("a IS NOT NULL").select("a", "b").distinct())
+    edges = verified(pairs, reps, rows)
     roots = graph.components(edges)
-    held = written(tasks(members, reps, roots))
-    left = written(close(held, reps, rows).join(pairs, ["a", "b"], "left_anti"))
-    more = written(joined(left, reps, rows))
+    held = written(tasks(found.where("key IS NOT NULL").select("key", "row"), reps, roots))
+    forget(found)
+    left = close(held, pairs, reps, rows)
+    forget(held, pairs)
+    more = joined(left, reps, rows)
+    forget(left)
     if not more.isEmpty():
         roots = graph.components(edges.unionByName(more))
+    forget(edges, more)
     placed = reps.select("digest", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("root", "row").alias("root"))
     member = signed.select("doc_id", "digest", "print").join(placed, "digest")
     groups = member.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))).alias("least")).where("n > 1").select("root", F.col("least.doc_id").alias("group_id"))
