@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -371,7 +371,10 @@ def sign(rows: DataFrame) -> DataFrame:
 
 
 def candidates(reps: DataFrame, least: int = SKETCH // 4) -> DataFrame:
-    """Of (row, keys, sketches): (a, b) row pairs to verify first, and (key, row) of the buckets of several rows; one of the two is null. A written table."""
+    """Of (row, chars, keys, sketches): (a, b) row pairs to verify first, and (key, row, chars) of the buckets of several rows; one of the two is null.
+
+    A written table. Most keys occur once: all keys are shuffled without sketches, and sketches only for the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in graph.by_region(batches, "key"):
@@ -387,11 +390,15 @@ def candidates(reps: DataFrame, least: int = SKETCH // 4) -> DataFrame:
             nodes = table.column("row").to_numpy()
             a, b = graph.link([], sketches, nodes, np.cumsum(size) - size, least)
             none, other = pa.nulls(len(a), pa.int64()), pa.nulls(len(nodes), pa.int64())
-            yield pa.record_batch({"a": pa.array(np.minimum(nodes[a], nodes[b])), "b": pa.array(np.maximum(nodes[a], nodes[b])), "key": none, "row": none})
-            yield pa.record_batch({"a": other, "b": other, "key": pa.array(key[several]), "row": pa.array(nodes)})
-
-    entries = reps.select("row", "sketches", F.posexplode("keys").alias("k", "key")).select("key", "row", F.get("sketches", F.floor(F.col("k") / BANDS).cast("int")).alias("sketch"))
-    return written(entries.repartition("key").sortWithinPartitions("key", "sketch", "row").mapInArrow(run, "a long, b long, key long, row long"))
+            yield pa.record_batch({"a": pa.array(np.minimum(nodes[a], nodes[b])), "b": pa.array(np.maximum(nodes[a], nodes[b])), "key": none, "row": none, "chars": none})
+            yield pa.record_batch({"a": other, "b": other, "key": pa.array(key[several]), "row": pa.array(nodes), "chars": table.column("chars").combine_chunks()})
+
+    keys = reps.select("row", F.posexplode("keys").alias("k", "key")).select("key", "row", F.floor(F.col("k") / BANDS).cast("int").alias("k"))
+    shared = written(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "row", "k"))
+    entries = shared.join(reps.select("row", "chars", "sketches"), "row").select("key", "row", "chars", F.get("sketches", "k").alias("sketch"))
+    out = written(entries.repartition("key").sortWithinPartitions("key", "sketch", "row").mapInArrow(run, "a long, b long, key long, row long, chars long"))
+    forget(shared)
+    return out
 
 
 def wanted(rows: DataFrame, digests: DataFrame) -> DataFrame:
@@ -439,7 +446,7 @@ def profiles(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def tasks(members: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+def tasks(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(task, side, row, root, chars, size): the rows of buckets that have several groups, in order of length.
 
     Buckets with the same most frequent group are taken together, so that two texts meet once however
@@ -487,7 +494,7 @@ def tasks(members: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
                 at, i, j, side, size = (np.concatenate(x) for x in (where, i, j, side, size))
                 yield pa.record_batch({"lead": pa.array(key[at]), "i": pa.array(i), "j": pa.array(j), "side": pa.array(side, mask=side < 0), "row": pa.array(row[at]), "root": pa.array(root[at]), "chars": pa.array(chars[at]), "size": pa.array(size)})
 
-    known = members.join(reps.select("row", "chars"), "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"), "chars")
+    known = members.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"), "chars")
     led = known.repartition("key").sortWithinPartitions("key", "root", "row").mapInArrow(lead, "lead long, row long, root long, chars long").distinct()
     found = led.repartition("lead").sortWithinPartitions("lead", "chars", "row").mapInArrow(run, "lead long, i long, j long, side long, row long, root long, chars long, size long")
     return found.select(F.xxhash64("lead", "i", "j").alias("task"), "side", "row", "root", "chars", "size")
@@ -580,12 +587,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(sign(rows))
     folded = signed.groupBy("digest").agg(F.min("row").alias("row"), F.first("chars").alias("chars"), F.first("keys").alias("keys"), F.first("sketches").alias("sketches"))
-    reps = written(folded)
-    found = candidates(reps)
+    bands = written(folded)
+    prints = written(signed.select("doc_id", "digest", "print"))
+    forget(signed)  # keys and sketches are the bulk of what is stored
+    found = candidates(bands)
+    reps = written(bands.select("row", "digest"))
+    forget(bands)
     pairs = written(found.where("a IS NOT NULL").select("a", "b").distinct())
     edges = verified(pairs, reps, rows)
     roots = graph.components(edges)
-    held = written(tasks(found.where("key IS NOT NULL").select("key", "row"), reps, roots))
+    held = written(tasks(found.where("key IS NOT NULL").select("key", "row", "chars"), roots))
     forget(found)
     left = close(held, pairs, reps, rows)
     forget(held, pairs)
@@ -595,7 +606,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         roots = graph.components(edges.unionByName(more))
     forget(edges, more)
     placed = reps.select("digest", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("root", "row").alias("root"))
-    member = signed.select("doc_id", "digest", "print").join(placed, "digest")
+    member = prints.join(placed, "digest")
     groups = member.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))).alias("least")).where("n > 1").select("root", F.col("least.doc_id").alias("group_id"))
     known = member.join(groups, "root", "left").select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "group_id")
     none = rows.where("text IS NULL").select("doc_id", F.lit(None).cast("string").alias("fingerprint"), F.lit(None).cast(docs.schema[id_col].dataType).alias("group_id"))

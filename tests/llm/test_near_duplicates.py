@@ -244,3 +244,29 @@ def test_all_pairs_of_a_templated_bucket_are_verified(spark):
     got = {x.doc_id: x.group_id for x in fingerprints.fingerprints(table(spark, [(k, rows[k]) for k in order])).collect()}
     assert not fingerprints.near(rows[0], rows[2])
     assert all(got[k] == got[k + 1] == k for k in range(0, len(rows), 2))
+
+
+def test_keys_and_sketches_are_gone_before_texts_are_moved(spark, monkeypatch):
+    live, seen = {}, []
+    store, drop, check = fingerprints.written, fingerprints.forget, fingerprints.verified
+
+    def written(df):
+        out = store(df)
+        live[id(out)] = out
+        return out
+
+    def forget(*tables):
+        for t in tables:
+            live.pop(id(t), None)
+        drop(*tables)
+
+    def verified(*args):
+        seen.extend(set(t.columns) for t in live.values())
+        return check(*args)
+
+    for name, f in (("written", written), ("forget", forget), ("verified", verified)):
+        monkeypatch.setattr(fingerprints, name, f)
+    base = " ".join(words(random.Random(3), 60))
+    got = fingerprints.fingerprints(table(spark, [(1, base), (2, base[:50] + "x" + base[51:]), (3, base), (4, "else")])).collect()
+    assert {x.doc_id: x.group_id for x in got} == {1: 1, 2: 1, 3: 1, 4: None}
+    assert seen and not any(c & {"keys", "sketches"} for c in seen)
