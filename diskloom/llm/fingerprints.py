@@ -44,6 +44,10 @@ from .common import chunks, code_points, digest, forget, list_array, mix64, ragg
 PART = 25
 #: Characters of the texts whose distances are worked out at a time; bounds memory, not results.
 MARKS = 4_000_000
+#: Characters of a common run from which followed() goes on.
+RUN = 16
+#: Columns between two looks at which pairs can still be near.
+LOOK = 96
 #: Pairs that a task compares before it looks which ones still have to be.
 PAIRS = 8_192
 WALKS, BANDS, ROWS, SKETCH = 4, 24, 7, 24
@@ -54,12 +58,12 @@ PERIOD, KINDS = 8192, 64
 SHORTEST, RATIO = 20, 1.25
 #: Least length of a class whose bands are windows; characters of a window; windows of a band.
 WINDOWED, WINDOW, PICKS = 300, 12, 2
-#: Widths below which documents are walked one at a time.
+#: Walks below which documents are walked one at a time.
 NARROW = 48
 #: Characters of a batch: enough that walks go over many texts at once.
 BATCH_CHARS = 4_000_000
 #: Rows of a block; a task compares one block, or two with each other. Bins of the profiles that it compares.
-BLOCK, BINS = 512, 1024
+BLOCK, BINS = 256, 1024
 #: Bits of the bitmap of candidate texts.
 BITMAP = 1 << 26
 _MASK = PERIOD - 1
@@ -69,7 +73,7 @@ def _delta() -> np.ndarray:
     """By walk, kind of character and step: steps until the walk leaves a character it has just reached."""
     n = WALKS * KINDS * PERIOD
     bits = (mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(63)).astype(bool).reshape(WALKS, KINDS, PERIOD)
-    out = np.zeros(bits.shape, dtype=np.int64)
+    out = np.zeros(bits.shape, dtype=np.uint8)  # small, so that it stays in a processor's cache; the longest is far below 255
     ahead = np.zeros(bits.shape[:2], dtype=np.int64)
     for turn in range(2):  # twice around, as the bits repeat
         for step in range(PERIOD - 1, -1, -1):
@@ -82,41 +86,43 @@ _deltas: list[np.ndarray] = []
 _lists: list[list[list[int]]] = []
 
 
-def deltas() -> tuple[list[np.ndarray], list[list[list[int]]]]:
+def deltas() -> tuple[np.ndarray, list[list[list[int]]]]:
     if not _deltas:
-        for own in _delta():
-            _deltas.append(own)
-            _lists.append(own.reshape(KINDS, PERIOD).tolist())
-    return _deltas, _lists
+        found = _delta()
+        _deltas.append(found.ravel())
+        _lists.extend(own.reshape(KINDS, PERIOD).tolist() for own in found)
+    return _deltas[0], _lists
 
 
-def arrivals(kinds: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
-    """The step at which a walk reaches each character; texts lie end to end in ``kinds``."""
+def arrivals(kinds: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walks: int) -> np.ndarray:
+    """By walk, the step at which it reaches each character; texts lie end to end in ``kinds``."""
     flat, lists = deltas()
-    delta, rows = flat[walk], lists[walk]
     order = np.argsort(-lengths, kind="stable")
     begin, size = starts[order], lengths[order]
-    out = np.zeros(len(kinds), dtype=np.int64)
-    now = np.zeros(len(order), dtype=np.int64)
-    base = kinds.astype(np.int64) * PERIOD
+    out = np.zeros((walks, len(kinds)), dtype=np.int32)  # a step is reached after a few times as many characters
+    now = np.zeros((walks, len(order)), dtype=np.int64)
+    base = kinds.astype(np.int32) * PERIOD
+    of_walk = np.arange(walks)[:, None] * (KINDS * PERIOD)
     longest = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(longest), side="left")
-    wide = int(np.count_nonzero(active >= NARROW))
+    wide = int(np.count_nonzero(active * walks >= NARROW))
     for i in range(wide):
         a = int(active[i])
         at = begin[:a] + i
-        t = now[:a]
-        out[at] = t
-        t += delta[base[at] + (t & _MASK)]
+        t = now[:, :a]
+        out[:, at] = t
+        t += flat[base[at] + of_walk + (t & _MASK)]
     for k in range(len(order)):
         if size[k] <= wide:
             break
-        t, steps = int(now[k]), []
         a, b = int(begin[k]) + wide, int(begin[k] + size[k])
-        for c in kinds[a:b].tolist():
-            steps.append(t)
-            t += rows[c][t & _MASK]
-        out[a:b] = steps
+        own = kinds[a:b].tolist()
+        for walk in range(walks):
+            t, steps, rows = int(now[walk, k]), [], lists[walk]
+            for c in own:
+                steps.append(t)
+                t += rows[c][t & _MASK]
+            out[walk, a:b] = steps
     return out
 
 
@@ -163,17 +169,20 @@ def windows(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return key
 
 
-def _symbols(points: np.ndarray, lengths: np.ndarray, texts: np.ndarray, classes: np.ndarray, walk: int, many: int) -> np.ndarray:
-    """Symbols that a walk writes at the sampled steps of each of ``texts``, ascending, for the class beside it."""
+def _symbols(points: np.ndarray, lengths: np.ndarray, texts: np.ndarray, classes: np.ndarray, walks: int, many: int) -> list[np.ndarray]:
+    """By walk, the symbols that it writes at the sampled steps of each of ``texts``, ascending, for the class beside it."""
     starts = np.cumsum(lengths) - lengths
     own, back = np.unique(texts, return_inverse=True)
     size = lengths[own]
     flat = points[np.repeat(starts[own], size) + ragged_arange(size)]
-    kinds = (mix64(flat.astype(np.uint64)) & np.uint64(KINDS - 1)).astype(np.uint8)
-    place = (np.repeat(np.arange(len(own), dtype=np.int64), size) << 40) | arrivals(kinds, np.cumsum(size) - size, size, walk)
+    kinds = (mix64(flat) & np.uint64(KINDS - 1)).astype(np.uint8)
+    text = np.repeat(np.arange(len(own), dtype=np.int64), size) << 40
     distinct, of = np.unique(classes, return_inverse=True)
-    at = np.searchsorted(place, (back[:, None] << 40) | steps_of(distinct, walk, many)[of], side="right") - 1
-    return mix64(flat[at].astype(np.uint64))
+    out = []
+    for walk, reached in enumerate(arrivals(kinds, np.cumsum(size) - size, size, walks)):
+        at = np.searchsorted(text | reached, (back[:, None] << 40) | steps_of(distinct, walk, many)[of], side="right") - 1
+        out.append(mix64(flat[at]))
+    return out
 
 
 def sampled(points: np.ndarray, lengths: np.ndarray, which: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +194,7 @@ def sampled(points: np.ndarray, lengths: np.ndarray, which: np.ndarray, classes:
         if not len(rows):
             continue
         share = SKETCH // walks
-        for walk in range(walks):
-            symbols = _symbols(points, lengths, which[rows], classes[rows], walk, per * ROWS + share)
+        for walk, symbols in enumerate(_symbols(points, lengths, which[rows], classes[rows], walks, per * ROWS + share)):
             for k in range(per):
                 key = (np.uint64(walk * per + k + 1) << np.uint64(32)) | classes[rows].astype(np.uint64)
                 for r in range(ROWS):
@@ -199,9 +207,22 @@ def sampled(points: np.ndarray, lengths: np.ndarray, which: np.ndarray, classes:
     return keys, sketch
 
 
+def _least(bits: np.ndarray, score: np.ndarray, known: np.ndarray, more: np.ndarray, low: int) -> np.ndarray:
+    """Edits that two texts have at least, by a column of their band: its differences up and down (pair, bit),
+    the value ``score`` beside bit ``known``, and the characters that the second text is longer by."""
+    kind = np.int16 if bits[0].shape[1] < 8192 else np.int32
+    value = np.cumsum(bits[0].view(np.int8) - bits[1].view(np.int8), axis=1, dtype=kind)
+    place = np.arange(value.shape[1], dtype=kind)
+    least = score - value[np.arange(len(score)), known]
+    value += np.abs((low - 1 - more).astype(kind)[:, None] - place)  # the rest takes the difference at least
+    value[place > known.astype(kind)[:, None]] = np.iinfo(kind).max
+    return least + value.min(axis=1)
+
+
 def counted(a: str, b: str, most: int) -> int:
     """Edit distance of a and b, or most + 1 where it is more: a column at a time, as bits of a band
-    of 2 * most + 2 rows along the diagonal (Myers, 1999; Hyyro, 2003)."""
+    along the diagonal (Myers, 1999; Hyyro, 2003) that holds every way of at most ``most`` edits, as one
+    that leaves it has to come back; now and then its least value tells whether there still is such a way."""
     if len(a) > len(b):
         a, b = b, a
     m, n = len(a), len(b)
@@ -212,22 +233,28 @@ def counted(a: str, b: str, most: int) -> int:
         return n
     points = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     marks = {chr(c): np.packbits(points == c, bitorder="little").tobytes() for c in np.unique(points).tolist()}
-    wide = 2 * most + 2
-    full, corner, above = (1 << wide) - 1, 1 << (wide - 1), 1 << (wide - 2 - max(0, most - m))
-    up, down, score = full ^ ((1 << (wide - most - 1)) - 1), 0, min(most, m)
-    row = most + 1 - wide  # of the band's lowest bit
-    bound = most + n - max(0, m - most)
+    high = (most - n + m) // 2  # rows of the band below the diagonal, and above it
+    low = n - m + high + 1
+    wide = low + high + 1
+    full, corner, above = (1 << wide) - 1, 1 << (wide - 1), 1 << (wide - 2 - max(0, high - m))
+    up, down, score = full ^ ((1 << low) - 1), 0, min(high, m)
+    row = -low  # of the band's lowest bit
+    bound = most + n - max(0, m - high)
     where: dict[str, int] = {}
     base = until = 0
     for j, c in enumerate(b):
         if j == until:  # the marks of the rows that the next columns' bands reach
+            if j:
+                bits = [np.unpackbits(np.frombuffer(x.to_bytes(wide // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[None, :wide] for x in (up, down)]
+                if _least(bits, np.array([score]), np.array([min(high, m - j) + low - 1]), np.array([n - m]), low)[0] > most:
+                    return most + 1
             base, until = max(0, row) // 8 * 8, j + 512
             where = {x: int.from_bytes(raw[base // 8 : (row + wide + 512) // 8 + 1], "little") for x, raw in marks.items()}
         same = where.get(c, 0)
         same = (same >> row - base if row >= base else same << base - row) & full
         level = ((((same & up) + up) ^ up) | same | down) & full
         right, left = down | (full & ~(level | up)), level & up
-        if j < m - most:
+        if j < m - high:
             score += not level & corner
         else:
             score += bool(right & above) - bool(left & above)
@@ -240,49 +267,69 @@ def counted(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
-def _batch(texts: list[np.ndarray], first_of: np.ndarray, second_of: np.ndarray, most: np.ndarray, wide: int) -> np.ndarray:
+def _batch(texts: list[np.ndarray], first_of: np.ndarray, second_of: np.ndarray, most: np.ndarray, wide: int | None = None) -> np.ndarray:
     """Whether the edit distance of each pair of texts (code points), the first no longer, is at most ``most``.
 
-    A column at a time for all pairs at once, as bits of a band of 64 * wide rows along the diagonal
-    (Myers, 1999; Hyyro, 2003); most must be below 32 * wide.
+    As counted(), a column at a time for all pairs at once; the band has 64 * wide rows, or as many words
+    as the pairs need. Pairs of which the answer is known leave.
     """
-    count, half = len(most), 32 * wide
     size = np.array([len(x) for x in texts], dtype=np.int64)
     m, n = size[first_of], size[second_of]
+    low = int(((most + n - m) // 2).max()) + 1
+    need = low + int(((most - n + m) // 2).max()) + 1
+    wide = max(wide or 0, -(-need // 64))
+    low += (64 * wide - need) // 2
+    high = 64 * wide - 1 - low
     longest = int(n.max())
-    alphabet = np.unique(np.concatenate(texts))
-    coded = [np.searchsorted(alphabet, x) for x in texts]
+    points = np.concatenate(texts)
+    seen = np.zeros(int(points.max()) + 1, dtype=bool)
+    seen[points] = True
+    alphabet = np.flatnonzero(seen)
+    coded = np.split((np.cumsum(seen, dtype=np.int32) - 1)[points], np.cumsum(size)[:-1])
     begin: dict[int, tuple[int, int, np.ndarray]] = {}  # of a text: where its marks begin, words of a character, row by character
     marks: list[np.ndarray] = []
     base = 0
     for k in np.unique(first_of).tolist():
-        known, back = np.unique(coded[k], return_inverse=True)
-        words_ = -(-(len(texts[k]) + 4 * half + 64) // 64)
+        known = np.flatnonzero(np.bincount(coded[k], minlength=len(alphabet)))
+        words_ = -(-(len(texts[k]) + 128 * wide + 64) // 64)
         own = np.zeros((len(known) + 1, words_ * 64), dtype=bool)  # the last row is of characters that it lacks
-        own[back, np.arange(half, half + len(texts[k]))] = True
-        marks.append(np.packbits(own, axis=1, bitorder="little").view(np.uint64).ravel())
         rows = np.full(len(alphabet), len(known), dtype=np.int64)
         rows[known] = np.arange(len(known))
+        own[rows[coded[k]], np.arange(low, low + len(texts[k]))] = True
+        marks.append(np.packbits(own, axis=1, bitorder="little").view(np.uint64).ravel())
         begin[k] = base, words_, rows
         base += own.shape[0] * words_
-    codes = np.zeros((longest, count), dtype=np.int64)  # where the marks of each column's character begin
+    codes = np.zeros((longest, len(most)), dtype=np.int32 if base < 1 << 31 else np.int64)  # where the marks of each column's character begin
     for k, (a, b) in enumerate(zip(first_of.tolist(), second_of.tolist())):
         at, words_, rows = begin[a]
         codes[: n[k], k] = at + rows[coded[b]] * words_
     bits = np.concatenate([*marks, np.zeros(longest // 64 + wide + 2, dtype=np.uint64)])  # ended pairs read on
-    ones, top = ~np.uint64(0), np.uint64(63)
-    up = np.zeros((wide, count), dtype=np.uint64)
-    up[wide // 2 :] = ones
-    if wide % 2:
-        up[wide // 2] = ones << np.uint64(32)
+    ones, top, one = ~np.uint64(0), np.uint64(63), np.uint64(1)
+    up = np.zeros((wide, len(most)), dtype=np.uint64)
+    up[low // 64] = ones << np.uint64(low % 64)
+    up[low // 64 + 1 :] = ones
     down = np.zeros_like(up)
-    score = np.minimum(half - 1, m)
-    turn = m - (half - 1)  # from this column on, the score goes along the last row
+    out = np.zeros(len(most), dtype=bool)
+    left_over, since = np.arange(len(most)), 0  # the pairs that are still in the columns; the column that codes begins with
+    score = np.minimum(high, m)
+    turn = m - high  # from this column on, the score goes along the last row
     first, reach = int(turn.min()), np.arange(wide + 1)[:, None]
-    every = np.arange(count)
+    every = np.arange(len(most))
     for j in range(longest):
+        if j and j % LOOK == 0:
+            spread = [np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1, bitorder="little") for x in (up, down)]
+            ended = j >= n
+            alive = ended | (_least(spread, score, np.clip(np.minimum(high, m - j) + low - 1, 0, None), n - m, low) <= most)
+            alive &= ~ended
+            if not alive.all() and (alive.sum() < 0.8 * len(alive)):
+                out[left_over[ended]] = score[ended] <= most[ended]
+                if not alive.any():
+                    return out
+                left_over, m, n, most, score, turn = (x[alive] for x in (left_over, m, n, most, score, turn))
+                up, down, codes, since = up[:, alive], down[:, alive], codes[j - since :, alive], j
+                first, every = int(turn.min()), np.arange(len(most))
         gone, r = divmod(j, 64)
-        own = bits[codes[j] + (reach + gone)]
+        own = bits[codes[j - since] + (reach + gone)]
         if r:
             same = own[:-1] >> np.uint64(r) | own[1:] << np.uint64(64 - r)
         else:
@@ -302,20 +349,44 @@ def _batch(texts: list[np.ndarray], first_of: np.ndarray, second_of: np.ndarray,
             early = j < turn
             score += early & (level[-1] >> top == 0)
             late = ~early & (j < n)
-            place = np.where(late, m - 1 - j + half, 0)
+            place = np.where(late, m - 1 - j + low, 0)
             word, bit = place >> 6, (place & 63).astype(np.uint64)
-            one = np.uint64(1)
             score += np.where(late, (right[word, every] >> bit & one).astype(np.int64) - (left[word, every] >> bit & one).astype(np.int64), 0)
-        level[:-1] = level[:-1] >> np.uint64(1) | level[1:] << top
-        level[-1] >>= np.uint64(1)
+        level[:-1] = level[:-1] >> one | level[1:] << top
+        level[-1] >>= one
         up, down = left | ~(level | right), level & right
-    return score <= most
+    out[left_over] = score <= most
+    return out
 
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def followed(a: str, b: str, most: int) -> bool:
+    """Whether a walk along both texts, from one common run to the next close by, shows that ``most`` edits suffice; if not, they may all the same."""
+    x, y = _points(a), _points(b)
+    i = j = cost = 0
+    while i < len(a) and j < len(b):
+        many = min(512, len(a) - i, len(b) - j)
+        other = np.flatnonzero(x[i : i + many] != y[j : j + many])
+        same = int(other[0]) if len(other) else many
+        i, j = i + same, j + same
+        if same == many:
+            continue
+        for skip in range(RUN * 3):
+            to = b.find(a[i + skip : i + skip + RUN], j, j + skip + RUN * 4)
+            if to >= 0:
+                break
+        else:
+            return False
+        cost += max(skip, to - j)
+        if cost > most:
+            return False
+        i, j = i + skip, to
+    return cost + max(len(a) - i, len(b) - j) <= most
+
+
 def near_pairs(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the edit distance of the texts a and b of each pair is at most a PART-th of the longer one."""
     size = np.array([len(x) for x in texts], dtype=np.int64)
@@ -323,20 +394,21 @@ def near_pairs(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = size[b] // PART
     out = np.array([texts[x] == texts[y] for x, y in zip(a.tolist(), b.tolist())], dtype=bool)
     todo = np.flatnonzero(~out & (size[b] - size[a] <= most) & (most > 0))
-    todo = todo[np.argsort(size[b][todo], kind="stable")]
-    wide = most[todo] // 32 + 1
+    wide = most // 64 + 1
+    part = (size[b] - size[a]) * 4 // (most + 1) if len(todo) > PAIRS // 8 else np.zeros(len(a), dtype=np.int64)  # a band holds their difference
+    todo = todo[np.lexsort((size[b][todo], part[todo]))]
+    part, wide = part[todo], wide[todo]
     at = 0
     while at < len(todo):
         end, most_wide = at + 1, max(int(wide[at]) + 1, int(wide[at]) * 5 // 4)
-        room = min(2048, MARKS // max(1, int(size[b[todo[at]]])))
-        while end < len(todo) and wide[end] <= most_wide and end - at < room:
+        while end < len(todo) and part[end] == part[at] and wide[end] <= most_wide and end - at < 4096 and (end - at) * int(size[b[todo[end]]]) < 2 * MARKS:
             end += 1
         own = todo[at:end]
         if len(own) < 60 + wide[end - 1]:  # too few for steps over all of them to pay
-            out[own] = [counted(texts[a[k]], texts[b[k]], int(most[k])) <= most[k] for k in own.tolist()]
+            out[own] = [followed(texts[a[k]], texts[b[k]], int(most[k])) or counted(texts[a[k]], texts[b[k]], int(most[k])) <= most[k] for k in own.tolist()]
         else:
             used, back = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
-            out[own] = _batch([_points(texts[k]) for k in used.tolist()], back[: len(own)], back[len(own) :], most[own], int(wide[end - 1]))
+            out[own] = _batch([_points(texts[k]) for k in used.tolist()], back[: len(own)], back[len(own) :], most[own])
         at = end
     return out
 
@@ -500,6 +572,11 @@ def tasks(members: DataFrame, roots: DataFrame) -> DataFrame:
     return found.select(F.xxhash64("lead", "i", "j").alias("task"), "side", "row", "root", "chars", "size")
 
 
+def parts(df: DataFrame) -> int:
+    """Partitions of tasks: as many as are set, since their work does not follow the bytes by which small ones are put together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def close(held: DataFrame, pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, ra, rb, apart, task): pairs of the tasks' rows of unlike groups that their lengths and profiles let be near, as a written table.
 
@@ -539,7 +616,7 @@ def close(held: DataFrame, pairs: DataFrame, reps: DataFrame, rows: DataFrame) -
     nodes = written(held.select("row").distinct().join(reps.select("row", "digest"), "row"))
     made = wanted(rows, nodes.select("digest")).groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(profile, "digest binary, profile binary")
     known = nodes.join(made, "digest").select("row", "profile")
-    found = held.join(known, "row").select("task", "side", "row", "root", "chars", "size", "profile").repartition("task").sortWithinPartitions("task", "chars", "row").mapInArrow(compare, "a long, b long, ra long, rb long, apart long, size long, task long")
+    found = held.join(known, "row").select("task", "side", "row", "root", "chars", "size", "profile").repartition(parts(held), "task").sortWithinPartitions("task", "chars", "row").mapInArrow(compare, "a long, b long, ra long, rb long, apart long, size long, task long")
     once = found.groupBy("a", "b", "ra", "rb", "apart").agg(F.max(F.struct("size", "task")).alias("t")).select("a", "b", "ra", "rb", "apart", "t.task")
     out = written(once.join(pairs, ["a", "b"], "left_anti"))
     forget(nodes)
@@ -577,7 +654,7 @@ def joined(left: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     both = nodes.join(texts, "digest").select("task", F.col("row").alias("a"), none.alias("b"), none.alias("ra"), none.alias("rb"), none.alias("apart"), "text")
     both = both.unionByName(left.select("task", "a", "b", "ra", "rb", "apart", F.lit(None).cast("string").alias("text")))
-    out = written(both.repartition("task").sortWithinPartitions("task").mapInArrow(check, "a long, b long"))
+    out = written(both.repartition(parts(left), "task").sortWithinPartitions("task").mapInArrow(check, "a long, b long"))
     forget(nodes)
     return out
 

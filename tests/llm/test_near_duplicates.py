@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -246,6 +247,40 @@ def test_all_pairs_of_a_templated_bucket_are_verified(spark):
     assert all(got[k] == got[k + 1] == k for k in range(0, len(rows), 2))
 
 
+def test_far_pairs_leave_before_their_end(monkeypatch):
+    r = random.Random(41)
+    draw = lambda n: "".join(r.choice("etaoin shrdlu") for _ in range(n))
+    took = []
+    a = draw(5000)
+    for texts in ([edited(r, a, 90) for _ in range(25)], [draw(5000) for _ in range(25)]):
+        x, y = np.triu_indices(25, 1)
+        began = time.process_time()
+        assert fingerprints.near_pairs(texts, x, y).all() == (not took)
+        took.append(time.process_time() - began)
+    assert took[1] < 0.5 * took[0]
+    base = draw(1500)
+    texts = [edited(r, base, r.randrange(10, 70)) for _ in range(40)] + [draw(1500) for _ in range(5)]
+    x, y = (k for k in np.triu_indices(45, 1))
+    want = [fingerprints.counted(texts[i], texts[j], 400) <= max(len(texts[i]), len(texts[j])) // 25 for i, j in zip(x, y)]
+    assert 20 < sum(want) < len(want) - 20
+    for look in (8, 96, 1 << 30):
+        monkeypatch.setattr(fingerprints, "LOOK", look)
+        assert fingerprints.near_pairs(texts, x, y).tolist() == want
+
+
+def test_followed_never_takes_more_than_the_distance_allows():
+    r = random.Random(43)
+    hits = 0
+    for k in range(300):
+        a = "".join(r.choice("abc" if k % 2 else "etaoin shrdlu") for _ in range(r.randrange(1, 500)))
+        b = edited(r, a, r.randrange(20)) if k % 5 else "".join(r.choice("abc") for _ in range(r.randrange(500)))
+        true, most = naive(a, b), r.randrange(40)
+        shown = fingerprints.followed(a, b, most)
+        assert not shown or true <= most
+        hits += shown
+    assert hits > 60
+
+
 def test_keys_and_sketches_are_gone_before_texts_are_moved(spark, monkeypatch):
     live, seen = {}, []
     store, drop, check = fingerprints.written, fingerprints.forget, fingerprints.verified
