@@ -218,3 +218,33 @@ def test_bload(spark):
     row = spark.range(1).select(wrap(good).alias("a"), wrap(b"\0").alias("b"), wrap(b"\3\x10\0\x10").alias("c"), wrap(b"\0\1\3\1abc").alias("d"), wrap(good + b"\0").alias("e"), wrap((good + b"\x1a").ljust(256, b"\0")).alias("f"), wrap(good + b"\x1a").alias("g"), F.hex(d88.wrapped_bload(F.lit(bytearray(b"abc")))).alias("h"), d88.wrapped_bload(F.lit(bytearray(10)), 0xFFFE).alias("i")).first()
     assert bytes(row.a.payload) == b"abc" and bytes(row.f.payload) == b"abc" and row.h == good.hex().upper() and row.i is None
     assert all(x.error for x in (row.b, row.c, row.d, row.e, row.g))
+
+
+def test_images_are_walked_where_they_are_built_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(d88, "ROWS_A_TASK", 50)
+
+    def make(table):
+        return f"{table.column('key')[0].as_py()}.d88", build.Disk(build.PC88_2D).build()
+
+    done = d88.scan_made(spark.range(1000).select("id", F.expr("id div 10").alias("key")), make)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInArrow [" not in plan.replace("FlatMapGroupsInArrow [", "")
+    tasks = done.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in tasks) == 100 and len(tasks) > 12 and max(r["count"] for r in tasks) < 30
+
+
+def test_sectors_by_column_are_those_of_the_walk():
+    import random
+
+    import pyarrow as pa
+
+    r, good = random.Random(8), disk().build(b"NAME")
+    cases = [None, b"", good[:100], good + good, good + good[:50], build.image([build.sector(0, 0, 1, 30, 1, bytes(128))])]
+    for _ in range(20):
+        bad = bytearray(good)
+        for _ in range(3):
+            bad[r.choice([r.randrange(0x20, 0x300), 688 + 272 * r.randrange(1280) + r.randrange(16)])] = r.randrange(256)
+        cases.append(bytes(bad))
+    for data in cases:
+        want = pa.Table.from_pylist(list(d88.disks_of("p", data)), schema=d88._SCHEMA)
+        assert pa.Table.from_batches(d88.batches_of("p", data), schema=d88._SCHEMA).to_pylist() == want.to_pylist()
