@@ -63,3 +63,30 @@ def test_encoding_columns(spark):
     assert bytes(whole) == bytes(range(256))
     with pytest.raises(Exception, match="U\\+8A9E"):
         df.select(cs.encode(F.col("t"), cs.PC98, errors="raise")).collect()
+
+
+def test_glyphs_and_dumps_of_whole_data(spark):
+    """Each byte is shown as decoding it with the byte before shows it, and bytes are not translated one by one."""
+    import random
+
+    from diskloom.operators import outputs
+
+    def plain(b, kind):
+        shown = [cs.decode_bytes(bytes([b[k - 1] if k else 0, b[k]]), kind, "none")[-1] for k in range(len(b))]
+        return "".join("." if c < " " or c == "\x7f" or "\ue000" <= c <= "\uf8ff" else c for c in shown)
+
+    r = random.Random(9)
+    cases = [b"", bytes(range(256)), b"\x14\x30\x14\x14\x31\x30"] + [bytes(r.choice([r.randrange(256), 0x14, 0xDE, 0xDF, 0x96, r.randrange(0x30, 0x50)]) for _ in range(r.randrange(70))) for _ in range(150)]
+    cases += [bytes([a, b, c]) for a in range(0x86, 0x100, 3) for b in (0xDE, 0xDF) for c in (0xDE, 0x14)]
+    b = F.col("b")
+    for kind in (cs.PC98, cs.PC6001):
+        df = spark.createDataFrame([(c, kind) for c in cases], "b binary, k string")
+        for row in df.select("b", cs.glyphs(b, F.col("k")).alias("g"), outputs.hexdump(b, F.col("k"), b).alias("lines")).collect():
+            raw, want = bytes(row.b), plain(bytes(row.b), kind)
+            assert row.g == want
+            assert len(row.lines) == -(-len(raw) // 16) + 1
+            for i, line in zip(range(0, len(raw), 16), row.lines):
+                codes = "".join((f" {x:02X}" + " " * (k == 7)) for k, x in enumerate(raw[i : i + 16]))
+                half = codes.ljust(50) + " │" + want[i : i + 16]
+                assert line.startswith(f"{i:06X}: " + half) and line.count(half) == 2
+    assert spark.createDataFrame([(None,)], "b binary").select(outputs.hexdump(b, F.lit(cs.PC98)).alias("lines"), outputs.hexdump(F.lit(bytearray(b"a")), F.lit(cs.PC98), b).alias("one")).first() == ([None], ["000000:  61" + " " * 47 + " │a╭──────────────╯", "000001" + " " * 53 + "╰─╯"])
