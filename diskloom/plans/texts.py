@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import charset, obfuscation, pictures
 from ..functions.names import let
 from ..streaming import filters
-from .registry import _binary, _bytewise, _literal, _table, query
+from .registry import _binary, _bytewise, _literal, _spread, _table, query
 
 # Character pairs that don't come from the encoder: kana by their place in Unicode's half-width block, which both
 # sets have in its order, voiced ones by composition, hiragana and signs by their place in a set's table.
@@ -113,17 +113,44 @@ _SQL_BIT = _BIT.format(e=f"embedding[(((i % {_WIDE}) + 7 * (i // {_LINES * _WIDE
 _PICTURE = f"SELECT vec_id, array_to_string(list_transform(range(0, {3 * _LINES * _WIDE}), lambda i: CASE WHEN {_SQL_BIT} THEN '1' ELSE '0' END), '') AS bits FROM embeddings"
 
 
+#: Pictures of a task: an image has 4.6 KB, and a batch as many as its task at most.
+_PICTURES_A_TASK = 2048
+
+
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, image) of three planes that a vector's signs make."""
-    i, y, c = f"(k div 3 % {_WIDE})", f"(k div {6 * _WIDE})", "(k % 3)"
-    plane = f"(CASE {c} WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END)"
-    bit = _BIT.format(e=f"element_at(embedding, cast(({i} + 7 * {plane} + 13 * ({y} div 4)) % {_WIDE} + 1 as int))", i=i, y=y).replace(f"{i} / 8", f"{i} div 8")
-    data = F.unhex(F.expr(f"array_join(transform(sequence(0, {6 * _WIDE * _LINES - 1}), k -> CASE WHEN {bit} THEN 'FF' ELSE '00' END), '')"))
-    return _table(spark, sf_dir, "embeddings", "vec_id", F.struct(F.lit(_WIDE).alias("width"), F.lit(2 * _LINES).alias("height"), F.lit(3).alias("nChannels"), data.alias("data")).alias("image"))
+    """(vec_id, image) of three planes that a vector's signs make.
+
+    Of the lines nine are different, by ``y div 4`` and by how many pixels ``y % 4`` turns; each is a string of signs.
+    """
+    signs = F.rpad(F.coalesce(F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), ""), F.lit("")), _WIDE, "0")
+
+    def line(own: Column, group: int, turned: int) -> Column:
+        def plane(p: int) -> Column:
+            first = (7 * p + 13 * group) % _WIDE
+            whole = F.concat(F.substr(own, F.lit(first + 1)), F.substr(own, F.lit(1), F.lit(first)))
+            parts = [part for k in range(turned) for part in (F.translate(F.substr(whole, F.lit(8 * k + 1), F.lit(1)), "01", "10"), F.substr(whole, F.lit(8 * k + 2), F.lit(7)))]
+            return F.concat(*parts, F.substr(whole, F.lit(8 * turned + 1)))
+
+        def mixed(planes: Column) -> Column:  # blue, green, red
+            return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(_WIDE)), lambda i: F.concat(*[F.substr(planes[k], i, F.lit(1)) for k in range(3)])), "")
+
+        return let(F.array(plane(0), plane(2), plane(1)), mixed)
+
+    def image(lines: Column) -> Column:
+        every = F.concat(*[lines[y // 4 * 3 + max(0, y % 4 - 1)] for y in range(_LINES) for _ in range(2)])
+        return F.unhex(F.replace(F.replace(every, F.lit("1"), F.lit("FF")), F.lit("0"), F.lit("00")))
+
+    # Each step is read more than once, so projections are not merged and it is made once.
+    rows = _spread(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), _PICTURES_A_TASK).select("vec_id", signs.alias("signs"))
+    rows = rows.select("vec_id", F.array(*[line(F.col("signs"), g, t) for g in range(_LINES // 4) for t in (0, 2, 3)]).alias("lines"))
+    return rows.select("vec_id", F.struct(F.lit(_WIDE).alias("width"), F.lit(2 * _LINES).alias("height"), F.lit(3).alias("nChannels"), image(F.col("lines")).alias("data")).alias("image"))
 
 
 def _bits(data: Column) -> Column:
-    return F.array_join(F.transform(F.split(F.hex(data), ""), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
+    out = F.translate(F.hex(data), "0123456789ABCDEF", "abcdefghijklmnop")
+    for k in range(16):
+        out = F.replace(out, F.lit("abcdefghijklmnop"[k]), F.lit(f"{k:04b}"))
+    return out
 
 
 def _planes(decoded: DataFrame) -> DataFrame:
@@ -148,17 +175,20 @@ def rbyte88_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def picture_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of the PNG of a decoded picture: each scan line twice, colours from the planes."""
     rows = _drawn(spark, sf_dir).select("vec_id", pictures.rbyte_encode(F.col("image")).alias("x")).select("vec_id", pictures.rbyte_png(F.col("x.data")).alias("x"))
-    size, full = 3 * _WIDE, F.lit(bytearray(b"\xff"))  # bytes of a scan line
+    size = 3 * _WIDE  # bytes of a scan line
 
     def shown(h: Column) -> Column:
-        def bit(c: int):
-            def both(k: Column) -> Column:
-                at = F.floor(k / _WIDE).cast("int") * (2 * size) + (k % _WIDE) * 3 + c + 1
-                return F.when((F.substr(h, at, F.lit(1)) == full) & (F.substr(h, at + size, F.lit(1)) == full), "1").otherwise("0")
+        """A pixel is set where both of its scan lines have all of a colour."""
+        full = F.rpad(F.coalesce(F.translate(charset.latin(h), "".join(map(chr, range(256))), "0" * 255 + "1"), F.lit("")), 2 * _LINES * size, "0")
 
-            return both
+        def both(t: Column) -> Column:
+            lines = []
+            for y in range(_LINES):
+                one, two = (F.substr(t, F.lit((2 * y + k) * size + 1), F.lit(size)) for k in range(2))
+                lines.append(F.when(one == two, one).otherwise(F.array_join(F.zip_with(F.split(one, ""), F.split(two, ""), lambda m, n: F.least(m, n)), "")))
+            return F.concat(*lines)
 
-        return F.concat(*[F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_LINES * _WIDE - 1)), bit(c)), "") for c in (0, 2, 1)])
+        return let(let(full, both), lambda t: F.concat(*[F.regexp_replace(t, "(.)(.)(.)", f"${c + 1}") for c in (0, 2, 1)]))
 
     return rows.select("vec_id", let(pictures.image_of(F.col("x.png"))["data"], shown).alias("bits"))
 

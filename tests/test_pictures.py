@@ -167,3 +167,25 @@ def test_pictures_that_end_too_soon(spark):
     assert spark.range(1).select(p.rbyte_encode(wide).alias("x")).select(p.rbyte_decode(F.col("x.data")).alias("y")).first().y.green == b"\x80"
     back = spark.createDataFrame([(row[0].x.png,), (bytearray(b"x"),)], "b binary").select(p.image_of(F.col("b")).alias("i")).collect()
     assert back[0].i.width == 8 and back[0].i.height == 4 and back[1].i.width is None
+
+
+def test_line_commands_up_to_a_length_are_those_of_any_length_that_fit():
+    r = random.Random(4)
+    for _ in range(400):
+        n = r.choice([1, 7, 8, 20, 300, 600])
+        old = bytes(r.choice([0, 255, r.randrange(256)]) for _ in range(n))
+        row = bytearray(old)
+        for _ in range(r.choice([1, 2, n])):
+            row[r.randrange(n)] ^= r.randrange(1, 256)
+        every = p._relative(bytes(row), old, 3, 10**6)
+        for most in (1, 2, 3, n // 8 + 2, n, 2 * n + 9):
+            assert [x for x in p._relative(bytes(row), old, 3, most) if len(x) <= most] == [x for x in every if len(x) <= most]
+
+
+def test_pictures_lie_in_tasks_of_bounded_size(spark, monkeypatch):
+    from diskloom.plans import texts
+
+    monkeypatch.setattr(texts, "_PICTURES_A_TASK", 10)
+    drawn = texts._drawn(spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in drawn.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= sum(sizes) // 10 and max(sizes) <= 20
