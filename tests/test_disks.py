@@ -248,3 +248,9 @@ def test_sectors_by_column_are_those_of_the_walk():
     for data in cases:
         want = pa.Table.from_pylist(list(d88.disks_of("p", data)), schema=d88._SCHEMA)
         assert pa.Table.from_batches(d88.batches_of("p", data), schema=d88._SCHEMA).to_pylist() == want.to_pylist()
+
+
+def test_error_counts_of_every_file_in_one_pass(corpus):
+    some = {r.path: r.errors for r in outputs.error_counts(corpus).collect()}
+    every = {r.path: r.errors for r in outputs.error_counts(corpus, every=True).collect()}
+    assert every == {r.path: some.get(r.path, 0) for r in corpus.select("path").distinct().collect()} and every[KNOWN[4].name] == 0
